@@ -16,9 +16,8 @@ LOWER[0x41:0x5B] += 32
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and those of its inverse, of exponents below n."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
+            p = np.full(max(n, 1 << 20), base, np.uint64)
             p[0] = 1
             _POWERS[k] = np.multiply.accumulate(p)
     return _POWERS[0][:n], _POWERS[1][:n]
