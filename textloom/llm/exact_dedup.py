@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, partitions
+from textloom.llm.common import partitions
 
 #: Characters of the normalised text that head the sort key. Splitters are sampled to the driver, so their size must be
 #: bounded; a hash breaks ties among long common heads, and the whole text is the last key.
@@ -25,7 +25,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty. Sampled splitters range-partition the rows by (head, hash) of the normalised text, each partition is sorted
     externally by (head, hash, text, id), and a window compares neighbours by their whole text. Groups of more than
     max(HOT_ROWS, rows / (4 * partitions)) copies (at most 4 * partitions of them, hence broadcast) are spread over
-    several partitions by a salt on the id; the winners of their pieces meet in a second, small comparison.
+    several partitions by a salt on the id; the winners of their pieces meet in a second, small comparison, which reads
+    the same shuffle again.
 
     The smallest id stays (null ids come last). Of rows repeated with the same id and text one is kept. Other columns of
     docs are not read. No rows give no rows.
@@ -54,10 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("pieces").isNotNull().alias("split"),
         "norm",
     )
-    found = cut(
-        found.select("id", "sha", "least", "n", "rank", "split", F.when(F.col("split") & (F.col("rank") == 1), F.col("norm")).alias("norm"))
-    )
-    joined = found.filter(F.col("norm").isNotNull()).groupBy("norm").agg(F.min("least").alias("all_least"), F.sum("n").alias("all_n"))
+    joined = found.filter(F.col("split") & (F.col("rank") == 1)).groupBy("norm").agg(F.min("least").alias("all_least"), F.sum("n").alias("all_n"))
     joined = joined.select(F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.lit(True).alias("split"), "all_least", "all_n")
     out = found.drop("norm").join(F.broadcast(joined), ["sha", "split"], "left")
     keep = F.when(F.col("split"), F.col("all_least")).otherwise(F.col("least"))
