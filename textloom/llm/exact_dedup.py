@@ -18,6 +18,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _sha256(norm: Column) -> Column:
+    # coalesce tells the optimizer that it is never null; else a join on it pushes a filter below the shuffle, which then
+    # isn't the same shuffle any more.
+    return F.coalesce(F.sha2(norm.cast("binary"), 256), F.lit(""))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -48,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = placed.select(
         "id",
-        F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
+        _sha256(F.col("norm")).alias("sha"),
         F.min("id").over(whole).alias("least"),
         F.count(F.lit(1)).over(whole).alias("n"),
         F.row_number().over(order).alias("rank"),
@@ -56,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "norm",
     )
     joined = found.filter(F.col("split") & (F.col("rank") == 1)).groupBy("norm").agg(F.min("least").alias("all_least"), F.sum("n").alias("all_n"))
-    joined = joined.select(F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.lit(True).alias("split"), "all_least", "all_n")
+    joined = joined.select(_sha256(F.col("norm")).alias("sha"), F.lit(True).alias("split"), "all_least", "all_n")
     out = found.drop("norm").join(F.broadcast(joined), ["sha", "split"], "left")
     keep = F.when(F.col("split"), F.col("all_least")).otherwise(F.col("least"))
     return out.select(
