@@ -11,7 +11,9 @@ from textloom.llm.decontamination import decontaminate
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.html_extraction import extract_main_text
 from textloom.llm.packing import pack
+from textloom.llm.pii import find_personal_data
 from textloom.llm.quality import quality
+from textloom.llm.secret_scan import scan_secrets
 from textloom.llm.simhash import simhash_components
 from textloom.llm.toxicity import toxicity
 from textloom.llm.warc import archive_round_trip
@@ -21,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -42,6 +48,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,7 +61,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_html_extraction, op4_packing, op5_toxicity, op6_decontamination, op7_warc, op9_quality, op10_simhash)
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_secret_scan, op3_html_extraction, op4_packing, op5_toxicity, op6_decontamination, op7_warc, op8_pii, op9_quality, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
