@@ -37,7 +37,11 @@ def leading_families(df: DataFrame, by: str, top: int, families: Sequence[tuple[
     Counts are combined before the shuffle and the rank keeps only top rows per task before its own.
     """
     words = T.split_words(F.lower(F.col(text)))
-    pairs = F.flatten(F.array(*[F.transform(T.leading_ngrams(F.col("w"), n, k), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("phrase"))) for n, k in families]))
+
+    def tagged(n: int, k: int) -> Column:
+        return F.transform(T.leading_ngrams(F.col("w"), n, k), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
+
+    pairs = F.flatten(F.array(*[tagged(n, k) for n, k in families]))
     each = df.select(by, words.alias("w")).select(by, F.explode(pairs).alias("p")).select(by, "p.n", "p.phrase")
     counted = each.groupBy(by, "n", "phrase").agg(n_rows().alias("count"))
     w = Window.partitionBy(by, "n").orderBy(F.desc("count"), "phrase")

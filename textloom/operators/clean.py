@@ -31,12 +31,15 @@ def first_wins(df: DataFrame, order: list[str], key: str = "document_hash", dedu
     whose column dedup is false neither check nor register.
 
     The first row of a key comes from an aggregate that is combined before its shuffle, and only keys that occur more
-    than once are joined back, so a key with very many copies does not meet in one task.
+    than once are joined back. Neither side is filtered by drop_reason: a filter would be pushed below the cleaning and
+    evaluate all of it once more.
     """
     takes_part = F.col("drop_reason").isNull() & (F.col(dedup) if dedup else F.lit(True))
     place = F.struct(*order)
-    firsts = df.filter(takes_part).groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    joined = df.join(firsts, df[key] == F.col("__key"), "left")
+    # Never null, or the join would push a null check, and with it the cleaning, below the aggregate.
+    named = df.withColumn("__key", F.coalesce(key, F.lit("")))
+    firsts = named.groupBy("__key").agg(F.min(F.when(takes_part, place)).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    joined = named.join(firsts, "__key", "left")
     again = takes_part & F.col("__first").isNotNull() & (place != F.col("__first"))
     return joined.withColumn("drop_reason", F.when(again, "exact_duplicate").otherwise(F.col("drop_reason"))).drop("__key", "__first", "__n")
 

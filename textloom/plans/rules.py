@@ -89,16 +89,22 @@ def broad_rules() -> Rules:
 
 
 def ngram_signal(words: Column, n: int) -> Column:
-    """(max_count, extra): how often the most frequent n-gram occurs, and the share of occurrences beyond each first."""
-    grams = F.array_sort(T.ngrams(words, n))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """(max_count, extra): how often the most frequent n-gram occurs, and the share of occurrences beyond each first.
 
-    def step(s: Column, g: Column) -> Column:
-        run = F.when(g == s["last"], s["run"] + 1).otherwise(1)
-        return F.struct(g.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+    One fold over the sorted n-grams gives both; words should be a column, not an expression.
+    """
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("different"), F.lit(0).alias("n"))
 
-    best = F.aggregate(grams, start, step, lambda s: s["best"])
-    return F.struct(best.alias("max_count"), T.ratio(F.size(grams) - F.size(F.array_distinct(grams)), F.size(grams)).alias("extra"))
+    def step(s: Column, g: Column) -> Column:
+        again = (g == s["last"]) & (s["run"] > 0)
+        run = F.when(again, s["run"] + 1).otherwise(1)
+        return F.struct(
+            g.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"), (s["different"] + F.when(again, 0).otherwise(1)).alias("different"), (s["n"] + 1).alias("n")
+        )
+
+    return F.aggregate(
+        F.array_sort(T.ngrams(words, n)), start, step, lambda s: F.struct(s["best"].alias("max_count"), T.ratio(s["n"] - s["different"], s["n"]).alias("extra"))
+    )
 
 
 def pipe_menu() -> Column:
@@ -131,7 +137,10 @@ def curated_rules() -> Rules:
     questions = F.length("text") - F.length(F.translate("text", "?", ""))
     separators = F.regexp_count("raw", F.lit(L.SEPARATORS))
     medical, product, page, entries = (T.count_terms(c("low"), t) for t in (L.MEDICAL_TERMS, L.PRODUCT_TERMS, L.PAGE_TERMS, L.DICTIONARY_TERMS))
-    five, eight = ngram_signal(c("words"), 5), ngram_signal(c("words"), 8)
+    repeats = F.exists(
+        F.array(*[F.struct(ngram_signal(c("words"), n).alias("s"), F.lit(most).alias("most"), F.lit(share).alias("share")) for n, most, share in ((5, 4, 0.06), (8, 3, 0.035))]),
+        lambda x: (x["s"]["max_count"] >= x["most"]) | (x["s"]["extra"] > x["share"]),
+    )
     return [
         *broad_rules(),
         ("curated_lm_familysearch_wiki_boilerplate", T.contains_any([packed], L.COMPACT_WIKI)),
@@ -162,10 +171,7 @@ def curated_rules() -> Rules:
             "curated_lm_dictionary_or_encyclopedia_fragment",
             c("low").contains("american heritage") & c("low").contains("dictionary") | (entries >= 3) & ((density(entries) > 0.01) | (c("n_sentences") <= 5)),
         ),
-        (
-            "curated_lm_repeated_ngram_heavy",
-            (five["max_count"] >= 4) | (eight["max_count"] >= 3) | (five["extra"] > 0.06) | (eight["extra"] > 0.035),
-        ),
+        ("curated_lm_repeated_ngram_heavy", repeats),
         ("curated_lm_low_prose_quality_signal", prose_score() < 2),
     ]
 

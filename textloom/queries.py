@@ -280,7 +280,8 @@ x AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 7], ' ') AS g FROM (SELE
 y AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b))
 SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (g) GROUP BY ALL""")
 def contamination_ngram8(spark, sf_dir):
-    grams = lambda d, i: d.select(i, F.explode(F.array_distinct(T.ngrams(T.split_words(T.squeeze(F.col("text"))), 8))).alias("g"))
+    words = lambda d, i: d.select(i, T.split_words(T.squeeze(F.col("text"))).alias("w"))
+    grams = lambda d, i: words(d, i).select(i, F.explode(F.array_distinct(T.ngrams(F.col("w"), 8))).alias("g"))
     # Few items: their n-grams go to the documents, checked against the broadcast threshold by the optimizer.
     met = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "g")
     return met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
@@ -444,7 +445,8 @@ def chunk_windows(spark, sf_dir):
 
 @query()
 def chunk_reject_reasons(spark, sf_dir):
-    return retrieve.sentence_windows(squeezed(spark, sf_dir), "doc_id").groupBy(retrieve.chunk_reject_reason(F.col("chunk")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    c = retrieve.sentence_windows(squeezed(spark, sf_dir), "doc_id").withColumn("w", T.split_words(T.squeeze(F.lower("chunk"))))
+    return c.groupBy(retrieve.chunk_reject_reason(F.col("chunk"), F.col("w")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{INDEX_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -457,8 +459,8 @@ def retrieve_topk(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
-@query(f"""{RETRIEVE_SQL}, x AS (SELECT query_id, 'src' || (CAST(split_part(chunk_id, '-', 1) AS BIGINT) % 3) AS source, score FROM r)
-SELECT query_id, max(score) FILTER (source = 'src0') AS src0, max(score) FILTER (source = 'src1') AS src1, max(score) FILTER (source = 'src2') AS src2 FROM x GROUP BY query_id""")
+@query(f"""{RETRIEVE_SQL}, mx AS (SELECT query_id, 'src' || (CAST(split_part(chunk_id, '-', 1) AS BIGINT) % 3) AS source, score FROM r)
+SELECT query_id, max(score) FILTER (source = 'src0') AS src0, max(score) FILTER (source = 'src1') AS src1, max(score) FILTER (source = 'src2') AS src2 FROM mx GROUP BY query_id""")
 def query_source_matrix(spark, sf_dir):
     hits = _hits(spark, sf_dir).withColumn("source", F.concat(F.lit("src"), F.substring_index("chunk_id", "-", 1).cast("long") % 3))
     return evals.score_matrix(hits, "query_id", "source", ["src0", "src1", "src2"], "score")
@@ -533,7 +535,7 @@ _TOKENS = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t})
 
 @query(rf"""WITH q AS (SELECT item_id AS query_id, lower(trim(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 6), ' '))) AS q FROM benchmark WHERE item_id < 20),
 h AS (SELECT doc_id, lower(concat_ws(' ', text, source)) AS h FROM documents),
-s AS (SELECT query_id, doc_id, round(CASE WHEN contains(h, q) AND q <> '' THEN 8.0 ELSE 0.0 END + 1.5 * len(list_intersect({_TOKENS('q')}, {_TOKENS('h')})), 6) AS score FROM h, q)
+s AS (SELECT query_id, doc_id, round(CASE WHEN contains(h, q) AND q <> '' THEN 8.0 ELSE 0.0 END + 1.5 * len(list_intersect({_TOKENS('q')}, {_TOKENS('h')})), 6)::DOUBLE AS score FROM h, q)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
 def ranked_search(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").filter("item_id < 20")  # a stated set of 20 queries against all rows
@@ -549,13 +551,14 @@ def ranked_search_fuzzy(spark, sf_dir):
 
 
 _has = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
+_CODE = r"CASE WHEN regexp_matches(text, '\b[A-Z]{2,4}\s?\d{3}\b') THEN 5 ELSE 0 END"
 _ROUTES_SQL = ", ".join(
-    f"(CASE WHEN {_has(w)} THEN {n} ELSE 0 END{' + CASE WHEN regexp_matches(text, $$\\b[A-Z]{2,4}\\s?\\d{3}\\b$$) THEN 5 ELSE 0 END' if r == 'course_catalog' else ''}, '{r}')" for r, n, w in snapshots.ROUTE_RULES
+    f"{{'score': CASE WHEN {_has(w)} THEN {n} ELSE 0 END{' + ' + _CODE if r == 'course_catalog' else ''}, 'route': '{r}'}}" for r, n, w in snapshots.ROUTE_RULES
 )
 
 
 @query(rf"""WITH u AS (SELECT conv_id, turn, text, lower(coalesce(text, '')) AS low FROM conversations WHERE role = 'user'),
-p AS (SELECT conv_id, turn, s.score, s.route FROM (SELECT conv_id, turn, unnest([{", ".join("{'score': " + x[1:-1].rsplit(", '", 1)[0] + ", 'route': '" + x[1:-1].rsplit(", '", 1)[1] + "}" for x in _ROUTES_SQL.split("), ("))}]) AS s FROM u)),
+p AS (SELECT conv_id, turn, s.score, s.route FROM (SELECT conv_id, turn, unnest([{_ROUTES_SQL}]) AS s FROM u)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, route DESC) AS k, lead(score) OVER (PARTITION BY conv_id, turn ORDER BY score DESC, route DESC) AS second FROM p)
 SELECT conv_id, turn, CASE WHEN score > 0 THEN route ELSE 'chat' END AS route, score, score > 0 AND (score < 4 OR second > 0 AND score - second <= 1) AS low_confidence FROM r WHERE k = 1""")
 def keyword_router(spark, sf_dir):
