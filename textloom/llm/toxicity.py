@@ -21,9 +21,9 @@ HIDDEN, EMBEDDING = 8, 4
 BUCKETS = 18
 GRAMS = (3, 4, 5)
 #: The bounded training sample: labelled rows of each class, taken by a hash of the id, of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 10_000
 #: Passes over the sample: EPOCHS, or as many as give STEPS steps.
-EPOCHS, STEPS, BATCH, RATE = 5, 300, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 5, 200, 64, 0.01
 THRESHOLD = 0.3
 _START, _END = 0x5E, 0x24  # word marks; neither is a byte of a word
 _INPUTS = 2 * EMBEDDING + 3
@@ -35,6 +35,7 @@ class Vocabulary:
 
     def __init__(self, words: Words):
         hashes, at, self.inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.inverse = self.inverse.astype(np.int32)
         self.word = (hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)
         starts = words.starts[at]
         self.lengths = words.ends[at] - starts
@@ -46,7 +47,7 @@ class Vocabulary:
         owner = np.repeat(np.arange(len(at)), self.lengths)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         flat[begins[owner] + 1 + inner] = words.data[starts[owner] + inner]
-        of = np.repeat(np.arange(len(at)), marked)
+        of = np.repeat(np.arange(len(at), dtype=np.int32), marked)
         values = _BYTE_VALUES[flat]
         grams, owners = [], []
         for n in GRAMS:
@@ -55,9 +56,10 @@ class Vocabulary:
             for j in range(n):
                 h = h * np.uint64(0xD1342543DE82EF95) + values[j : j + k]
             inside = of[:k] == of[n - 1 :] if k else np.zeros(0, bool)
-            grams.append(mixed(h[inside] + np.uint64(n)) >> np.uint64(64 - BUCKETS))
+            grams.append((mixed(h[inside] + np.uint64(n)) >> np.uint64(64 - BUCKETS)).astype(np.int32))
             owners.append(of[:k][inside])
-        grams, owners = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
+            del h, inside
+        grams, owners = np.concatenate(grams), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
         self.grams, self.owners = grams[order], owners[order]
         self.gram_first = np.searchsorted(self.owners, np.arange(len(at)))
@@ -195,13 +197,13 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Model:
         docs = np.unique(words.doc.astype(np.int64) * len(v) + v.inverse) if len(v) else np.zeros(0, np.int64)
         doc, number = (docs // max(len(v), 1), docs % max(len(v), 1))
         counts["word", k] = np.bincount(v.word[number], minlength=1 << BUCKETS)
-        if len(v):
-            reps = v.gram_counts[number]
-            at = np.repeat(v.gram_first[number] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-            pairs = np.unique(np.repeat(doc, reps) << BUCKETS | v.grams[at])
-            counts["gram", k] = np.bincount(pairs & ((1 << BUCKETS) - 1), minlength=1 << BUCKETS)
-        else:
-            counts["gram", k] = np.zeros(1 << BUCKETS, np.int64)
+        counts["gram", k] = np.zeros(1 << BUCKETS, np.int64)
+        for start in range(0, len(texts), 32):  # some texts at a time, or the pairs of text and n-gram take much memory
+            a, b = np.searchsorted(doc, (start, start + 32))
+            reps = v.gram_counts[number[a:b]]
+            at = np.repeat(v.gram_first[number[a:b]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            pairs = np.unique(np.repeat(doc[a:b], reps) << BUCKETS | v.grams[at].astype(np.int64))
+            counts["gram", k] += np.bincount(pairs & ((1 << BUCKETS) - 1), minlength=1 << BUCKETS)
         sides.append((words, v))
     n = (len(toxic), len(clean))
     tables = {kind: [_evidence(counts[kind, 0] - a, counts[kind, 1] - b, n[0] - a, n[1] - b) for a, b in ((1, 0), (0, 1), (0, 0))] for kind in ("word", "gram")}
