@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, partitions, shared_dir
@@ -124,7 +124,7 @@ def _writer(folder: str, archive_bytes: int) -> Callable[[Iterator[pa.RecordBatc
 
         def begin() -> None:
             state["name"] = f"{uuid.uuid4().hex}.warc.zst"
-            state["file"] = store.open_output_stream(f"{base}/{state['name']}")
+            state["file"] = store.open_output_stream(f"{base}/{state['name']}", compression=None)  # the name alone would have it compressed again
             state["writer"] = Writer(state["file"], waiting)
             for x in waiting:
                 state["writer"].write(x)
@@ -168,7 +168,7 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(f"{base}/{name}") as source:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as source:
                     for raw in read_records(source):
                         head, block = parse(raw)
                         revisit = head["WARC-Type"] == "revisit"
