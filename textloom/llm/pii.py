@@ -60,7 +60,7 @@ def base_spans(text: str) -> list[Span]:
             done = at + 1  # no local part reaches over a sign
         at = text.find("@", done)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -100,7 +100,7 @@ def _bucket(kind: str, value: str) -> int:
 
 def graph(text: str) -> Graph:
     tokens, features, chain, skip = [], [], [], []
-    last_end, last_form, seen = -1, "", {}
+    last_end, seen = -1, {}
     before = ""
     for m in _CANDIDATE.finditer(text):
         raw = m[0]
@@ -119,7 +119,7 @@ def graph(text: str) -> Graph:
         if last_end >= 0:
             chain.append((i - 1, i))
         form = re.sub(r"\D", "", core) if digits >= 7 else core.lower()
-        if form in seen and seen[form] != i - 1:
+        if form in seen and (last_end < 0 or seen[form] != i - 1):
             skip.append((seen[form], i))
         seen[form] = i
         before, last_end = raw, m.end()
@@ -128,7 +128,7 @@ def graph(text: str) -> Graph:
 
 @dataclass
 class Field:
-    """weights: feature by label; chain, skip: log potentials of label pairs; edge: of a token beside an outside one."""
+    """weights: feature by label; chain, skip: log potentials of label pairs."""
 
     weights: np.ndarray
     bias: np.ndarray
