@@ -169,13 +169,21 @@ def test_snapshots(spark):
 
 
 def test_evaluation(spark):
-    rows = [(1, "a a a a b"), (2, ""), (3, "A clear answer is given here. It ends."), (4, None)]
+    rows = [(1, "wow wow wow wow then calm"), (2, ""), (3, "A clear answer is given here. It ends."), (4, None), (5, "!!! ..."), (6, "a-b-c-d-e-f good"), (7, "Copyright 2020 site")]
     got = {r.i: r for r in evals.generation_quality(spark.createDataFrame(rows, "i long, t string"), "t").collect()}
-    assert got[1].reasons == ["repeated_token_run"] and got[2].reasons == ["empty"] == got[4].reasons and not got[3].degenerate and got[1].longest_run == 4
+    assert got[1].reasons == ["repeated_token_burst"] and not got[1].degenerate and got[1].repeated_token_run == 4
+    assert got[2].reasons == ["blank_output", "too_short_no_content"] == got[4].reasons and got[2].degenerate
+    assert got[3].reasons == [] and "punctuation_only" in got[5].reasons and got[6].reasons == ["hyphen_letter_garbage"] and got[7].reasons == ["copyright_date_residue"]
+    asked = spark.createDataFrame([("What colour is the northern lighthouse?", "The lighthouse is red and white.", "It is red and white, the lighthouse of the north."), ("What colour is the northern lighthouse?", "Bananas grow quickly there.", "Nothing relevant whatsoever")], "p string, r string, c string")
+    found = [r.reasons for r in evals.generation_quality(asked, "r", "p", "c", grounded=True).collect()]
+    assert found == [["low_prompt_retention"], ["ignores_provided_context", "prompt_not_reflected", "low_prompt_retention"]]
     gates = evals.release_gates(spark.createDataFrame([("x", 0.5)], "name string, value double"), spark.createDataFrame([("x", "min", 0.5), ("x", "max", 0.4), ("y", "min", 0.0)], "name string, kind string, threshold double"))
     assert sorted((r.name, r.kind, r.passed) for r in gates.collect()) == [("x", "max", False), ("x", "min", True), ("y", "min", False)]
-    s = spark.range(1).select(evals.assistant_score(F.lit("Yes [1]"), F.array(F.lit("yes"), F.lit("no")), F.array(F.lit("bad")), F.lit(True)).alias("s")).first().s
-    assert s == 1.0
+    score = lambda t, **kw: spark.range(1).select(evals.assistant_score(F.lit(t), F.array(F.lit("yes"), F.lit("no")), F.array(F.lit("bad")), F.lit(True), **kw).alias("s")).first().s
+    assert score("Yes [source: x]") == 1.0 and score("yes no") == 0.5 and score("yes no bad") == 0.0 and score("yes no [source: x]", reference=F.lit("yes no [source: x]")) == 2.5
+    e = spark.sql("SELECT array('a', 'b') AS x, cast(array() as array<string>) AS n")
+    one = lambda t, a, b, x: e.select(evals.exact_score(F.lit(t), F.col(a), F.col(b), F.lit(x)).alias("s")).first().s
+    assert one("A B", "x", "n", False) and not one("A", "x", "n", False) and one("A", "n", "x", False) and one("I don't know", "x", "n", True) and not one(" ", "n", "n", False)
 
 
 def test_water_filling():

@@ -10,48 +10,131 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
+#: Words that say nothing about a text's subject; fixed values.
+COMMON_WORDS = (
+    "about after also and are because before below between but can does for from has have how into its that the their this what when where which while with"
+).split()
+ABSTENTION = r"(?i)(does not contain enough information|cannot answer|could not find|not enough information|not provided)"
+#: Reasons of which one alone makes an output degenerate.
+FATAL = (
+    "blank_output", "punctuation_only", "hyphen_letter_garbage", "copyright_date_residue", "grounded_answer_too_short", "ignores_provided_context",
+    "leading_punctuation_fragment", "low_prompt_retention",
+)
+
+
 def longest_run(words: Column) -> Column:
-    """How often a word stands after itself at most, plus one; zero without words."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """How often a word stands after itself at most, plus one; one without words."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best"))
 
     def step(s: Column, w: Column) -> Column:
-        run = F.when((w == s["last"]) & (s["run"] > 0), s["run"] + 1).otherwise(1)
+        run = F.when(w == s["last"], s["run"] + 1).otherwise(1)
         return F.struct(w.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
     return F.aggregate(words, start, step, lambda s: s["best"])
 
 
-def generation_quality(df: DataFrame, response: str, prompt: str | None = None) -> DataFrame:
-    """Adds metrics of a response, its reasons (an array) and degenerate (any reason)."""
-    t = T.squeeze(F.coalesce(F.col(response), F.lit("")))
-    words = T.split_words(F.lower(t))
-    df = df.withColumn("__w", words).withColumn("__t", t)
-    n = F.size("__w")
-    grams = T.ngrams(F.col("__w"), 4)
-    metrics = {
-        "n_words": n,
-        "n_chars": F.length("__t"),
-        "unique_ratio": F.round(T.ratio(F.size(F.array_distinct("__w")), n), 6),
-        "repeated_4gram_ratio": F.round(T.ratio(F.size(grams) - F.size(F.array_distinct(grams)), F.size(grams)), 6),
-        "longest_run": longest_run(F.col("__w")),
-        "alpha_ratio": F.round(T.ratio(F.length(F.regexp_replace("__t", r"[^\p{L}]", "")), F.length("__t")), 6),
-        "n_sentences": T.count_sentences(F.col("__t")),
-    }
-    if prompt:
-        p = F.array_distinct(T.split_words(F.lower(T.squeeze(F.coalesce(F.col(prompt), F.lit(""))))))
-        metrics["prompt_overlap"] = F.round(T.ratio(F.size(F.array_intersect(p, F.array_distinct("__w"))), F.size(p)), 6)
-    df = df.withColumns(metrics)
+def content_terms(text: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z][A-Za-z0-9'-]{2,}"), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), "^['-]+|['-]+$", ""))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*COMMON_WORDS)))
+
+
+def generation_quality(df: DataFrame, response: str, prompt: str | None = None, context: str | None = None, grounded: bool = False) -> DataFrame:
+    """Adds metrics of a response, its reasons (an array) and degenerate. grounded: an answer must rest on its context."""
+    from textloom.plans.rules import ngram_signal
+
+    none = F.array().cast("array<string>")
+    given = lambda c: content_terms(F.col(c)) if c else none
+    df = df.withColumn("__t", F.regexp_replace(F.coalesce(F.col(response), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    df = df.withColumns(
+        {
+            "__raw": F.filter(F.split("__t", r"(?U)\s+"), lambda w: w != ""),
+            "__solid": F.regexp_replace("__t", r"(?U)\s+", ""),
+            "__out": content_terms(F.col("__t")),
+            "__prompt": given(prompt),
+            "__context": given(context),
+        }
+    )
+    df = df.withColumn("__norm", F.transform("__raw", lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")))
+    df = df.withColumn("__words", F.filter("__norm", lambda w: w != ""))
+    share = lambda n, d: F.when(d == 0, 0.0).otherwise(T.ratio(n, d))
+    solid, tokens, words = F.length("__solid"), F.size("__raw"), F.size("__words")
+    df = df.withColumns(
+        {
+            "nonspace_chars": solid,
+            "token_count": tokens,
+            "word_count": words,
+            "alpha_ratio": share(F.length(F.regexp_replace("__solid", r"[^\p{L}]", "")), solid),
+            "comma_ratio": share(solid - F.length(F.translate("__solid", ",", "")), solid),
+            "separator_bursts": F.regexp_count("__t", F.lit(r"([,./>\-])\1{2,}")),
+            "short_fragment_ratio": share(F.size(F.filter("__norm", lambda w: F.length(w) <= 2)), tokens),
+            "punctuation_suffix_ratio": share(F.size(F.filter("__raw", lambda w: w.rlike(r"[,./>\-]$"))), tokens),
+            "unique_token_ratio": share(F.size(F.array_distinct("__words")), words),
+            "repeated_token_run": longest_run(F.col("__words")),
+            "content_term_count": F.size("__out"),
+            "prompt_overlap": F.array_sort(F.array_intersect("__out", "__prompt")),
+            "context_overlap": F.array_sort(F.array_intersect("__out", "__context")),
+            "most_common": ngram_signal(F.col("__words"), 1)["max_count"],
+            "repeated_phrase": (ngram_signal(F.col("__words"), 2)["max_count"] >= 4) | (ngram_signal(F.col("__words"), 3)["max_count"] >= 3),
+        }
+    )
+    c = F.col
+    asks, rests = F.size("__prompt"), F.size("__context")
+    bound = F.lit(grounded) & ~c("__t").rlike(ABSTENTION)
     rules = [
-        ("empty", F.col("n_words") == 0),
-        ("too_short", F.col("n_words").between(1, 3)),
-        ("repeated_token_run", F.col("longest_run") >= 4),
-        ("repeated_ngrams", F.col("repeated_4gram_ratio") > 0.2),
-        ("low_diversity", (F.col("n_words") >= 24) & (F.col("unique_ratio") < 0.35)),
-        ("low_alpha", (F.col("n_chars") > 0) & (F.col("alpha_ratio") < 0.5)),
-        ("no_sentence_end", (F.col("n_words") >= 12) & (F.col("n_sentences") == 0)),
+        ("separator_spam", c("separator_bursts") >= 2),
+        ("low_alphabetic_ratio", (c("nonspace_chars") >= 40) & (c("alpha_ratio") < 0.45)),
+        ("too_many_short_fragments", (c("token_count") >= 12) & (c("short_fragment_ratio") > 0.55)),
+        ("malformed_token_dump", (c("token_count") >= 12) & (c("punctuation_suffix_ratio") > 0.55)),
+        ("repeated_token_burst", c("repeated_token_run") >= 4),
+        ("comma_spam", (c("nonspace_chars") >= 40) & (c("comma_ratio") > 0.12)),
+        ("low_token_variety", (c("word_count") >= 12) & (c("unique_token_ratio") < 0.3)),
+        ("blank_output", c("__t") == ""),
+        ("punctuation_only", (c("__t") != "") & c("__t").rlike(r"(?U)^[\W_]+$")),
+        ("too_short_no_content", (c("nonspace_chars") <= 3) | (c("word_count") <= 2) & (c("content_term_count") == 0)),
+        ("hyphen_letter_garbage", c("__t").rlike(r"(?U)\b(?:[A-Za-z]{1,3}-){3,}[A-Za-z]{1,3}\b")),
+        ("copyright_date_residue", (c("token_count") <= 8) & c("__t").rlike(r"(?i)(?:©|copyright)\s*(?:19|20)\d{2}")),
+        ("low_alphabetic_ratio", c("nonspace_chars").between(1, 39) & (c("alpha_ratio") < 0.35)),
+        ("repeated_phrase", c("repeated_phrase")),
+        ("dominant_repeated_token", (c("word_count") >= 10) & (c("most_common") >= 3) & (T.ratio(c("most_common"), c("word_count")) >= 0.18)),
+        ("leading_punctuation_fragment", F.lit(grounded) & c("__t").rlike(r"^[.?!,;:]")),
+        ("grounded_answer_too_short", bound & (c("token_count") <= 3)),
+        ("ignores_provided_context", bound & (rests > 0) & (c("content_term_count") > 0) & (F.size("context_overlap") == 0)),
+        ("prompt_not_reflected", bound & (asks > 0) & (c("content_term_count") > 0) & (F.size("prompt_overlap") == 0) & (F.size("context_overlap") == 0)),
+        ("low_prompt_retention", bound & (asks >= 3) & (c("content_term_count") > 0) & (F.size("prompt_overlap") < 2)),
     ]
-    reasons = F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules]))
-    return df.withColumn("reasons", reasons).withColumn("degenerate", F.size("reasons") > 0).drop("__w", "__t")
+    df = df.withColumn("reasons", F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules])))
+    dump = (c("token_count") >= 16) & (c("punctuation_suffix_ratio") > 0.7) & (c("short_fragment_ratio") > 0.6)
+    fatal = [*FATAL, *(("repeated_phrase", "dominant_repeated_token") if grounded else ())]
+    degenerate = (F.size("reasons") >= 2) | (c("separator_bursts") >= 4) | (c("repeated_token_run") >= 6) | dump | F.arrays_overlap("reasons", F.array(*map(F.lit, fatal)))
+    rounded = {k: F.round(k, 4) for k in ("alpha_ratio", "comma_ratio", "short_fragment_ratio", "punctuation_suffix_ratio", "unique_token_ratio")}
+    df = df.withColumn("degenerate", degenerate).withColumns(rounded).withColumns({k: F.slice(k, 1, 12) for k in ("prompt_overlap", "context_overlap")})
+    return df.drop("__t", "__raw", "__solid", "__out", "__prompt", "__context", "__norm", "__words", "most_common", "repeated_phrase")
+
+
+#: Marks of an answer that abstains, and answers that say nothing; fixed values.
+ABSTAIN_MARKS = (
+    "i don't know", "i do not know", "not enough information", "insufficient information", "i cannot confirm", "i can't confirm", "not in the catalog",
+    "not listed in the catalog", "could not find", "couldn't find", "no matching catalog entries", "cannot verify", "don't want to guess", "not listed",
+)
+FILLER = ("what would you like to work on", "what would you like help with", "how can i help today", "tell me what you want to figure out")
+
+
+def abstains(response: Column) -> Column:
+    return T.contains_any([F.lower(F.coalesce(response, F.lit("")))], ABSTAIN_MARKS)
+
+
+def cites(response: Column) -> Column:
+    return T.contains_any([F.lower(F.coalesce(response, F.lit("")))], ("[source:", "<|citation|>"))
+
+
+def exact_score(response: Column, all_of: Column, any_of: Column, expects_abstention: Column) -> Column:
+    """Whether a response abstains where it should, else holds all and any of what is expected; where nothing is
+    expected, whether there is one."""
+    low = F.lower(F.coalesce(response, F.lit("")))
+    some = lambda a: F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0
+    every = ~some(all_of) | F.forall(F.coalesce(all_of, F.array().cast("array<string>")), lambda x: low.contains(F.lower(x)))
+    either = ~some(any_of) | F.exists(F.coalesce(any_of, F.array().cast("array<string>")), lambda x: low.contains(F.lower(x)))
+    return F.when(F.coalesce(expects_abstention, F.lit(False)), abstains(response)).when(some(all_of) | some(any_of), every & either).otherwise(F.trim(low) != "")
 
 
 def expected_share(response: Column, expected: Column) -> Column:
@@ -61,12 +144,42 @@ def expected_share(response: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, F.size(found) / F.greatest(F.size(expected), F.lit(1))).otherwise(1.0)
 
 
-def assistant_score(response: Column, expected: Column, forbidden: Column, requires_citation: Column) -> Column:
-    """Expected share, less the share of forbidden substrings found, plus or minus half for a citation; zero at least."""
-    low = F.lower(F.coalesce(response, F.lit("")))
-    bad = F.size(F.filter(forbidden, lambda x: low.contains(F.lower(x)))) / F.greatest(F.size(forbidden), F.lit(1))
-    cites = low.rlike(r"\[[^\]]+\]|source:")
-    return F.greatest(F.lit(0.0), expected_share(response, expected) - bad + F.when(requires_citation, F.when(cites, 0.5).otherwise(-0.5)).otherwise(0.0))
+def assistant_score(response: Column, expected: Column, forbidden: Column, requires_citation: Column, reference: Column | None = None) -> Column:
+    """One for the reference, the share of expected substrings, minus one for each forbidden one, two for repeated
+    punctuation or connectors, one for filler and two for markup, half for or against a citation; zero at least."""
+    text = F.coalesce(response, F.lit(""))
+    low = F.lower(text)
+    bad = F.size(F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda x: low.contains(F.lower(x))))
+    loops = text.rlike(r"([,.;:!?])(?:\s*\1){4,}") | low.rlike(r"(?U)\b(and|or)\b(?:\s+\1){3,}")
+    minus = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
+    markup = T.contains_any([text], ("</s>", "<|assistant|>", "<|user|>"))
+    score = F.when(F.size(expected) > 0, expected_share(response, expected)).otherwise(0.0) - bad - minus(loops, 2) - minus(T.contains_any([low], FILLER), 1) - minus(markup, 2)
+    score = score + F.when(F.coalesce(requires_citation, F.lit(False)), F.when(cites(response), 0.5).otherwise(-0.5)).otherwise(0.0)
+    if reference is not None:
+        score = score + minus(F.trim(text) == F.trim(reference), 1)
+    return F.greatest(F.lit(0.0), score)
+
+
+def route_audit(df: DataFrame, predicted: str, expected: str) -> DataFrame:
+    """One row: questions, and the shares whose route is expected or among those that were tried (column routes)."""
+    hit = F.array_contains(expected, F.col(predicted))
+    fan = F.arrays_overlap(expected, "routes")
+    return df.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(hit.cast("double")), 6).alias("route_accuracy"), F.round(F.avg(fan.cast("double")), 6).alias("fanout_recall"))
+
+
+def expected_routes(explicit: Column, domain: Column) -> Column:
+    """The routes that are stated, else the one that a domain's name implies."""
+    low = F.lower(F.coalesce(domain, F.lit("")))
+    implied = F.lit("chat")
+    for parts, name in reversed(
+        [
+            (("handbook",), "handbook_policy"), (("faculty",), "faculty"), (("admission",), "admissions_general"), (("student_life",), "student_life"),
+            (("mission_values", "college_guidance"), "admissions_general"), (("museum",), "museum_programs"), (("athletics",), "athletics"), (("planner",), "planner_advice"),
+            (("course",), "course_catalog"),
+        ]
+    ):
+        implied = F.when(T.contains_any([low], parts), name).otherwise(implied)
+    return F.coalesce(F.when(F.size(explicit) > 0, explicit), F.array(implied))
 
 
 def weighted_average(df: DataFrame, by: Sequence[str], values: Sequence[str], weight: str) -> DataFrame:

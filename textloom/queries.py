@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import audit, chat, clean, evals, mixing, retrieve, snapshots, web
+from textloom.operators import audit, chat, clean, evals, mixing, reports, retrieve, snapshots, web
 from textloom.plans import lists as L
 from textloom.plans import rules
 
@@ -569,21 +569,39 @@ def keyword_router(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
+_ASSISTANT = "role = 'assistant'"
+
+
 @query(rf"""WITH a AS (SELECT conv_id, turn, {SQUEEZE} AS t FROM conversations WHERE role = 'assistant'),
-w AS (SELECT *, CASE WHEN t = '' THEN [] ELSE string_split(lower(t), ' ') END AS w FROM a),
-g AS (SELECT *, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) ELSE [] END AS g FROM w)
-SELECT conv_id, turn, len(w) AS n_words, length(t) AS n_chars, round(len(list_distinct(w)) / greatest(len(w), 1), 6) AS unique_ratio,
-  round((len(g) - len(list_distinct(g))) / greatest(len(g), 1), 6) AS repeated_4gram_ratio, round(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) / greatest(length(t), 1), 6) AS alpha_ratio, {SENTENCES} AS n_sentences
-FROM g""")
+r AS (SELECT *, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS raw, replace(t, ' ', '') AS s FROM a),
+n AS (SELECT *, list_transform(raw, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')) AS norm FROM r), w AS (SELECT *, list_filter(norm, lambda x: x <> '') AS w FROM n)
+SELECT conv_id, turn, length(s) AS nonspace_chars, len(raw) AS token_count, len(w) AS word_count,
+  round(CASE WHEN s = '' THEN 0 ELSE length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) / length(s) END, 4) AS alpha_ratio,
+  round(CASE WHEN s = '' THEN 0 ELSE (length(s) - length(replace(s, ',', ''))) / length(s) END, 4) AS comma_ratio,
+  round(CASE WHEN len(raw) = 0 THEN 0 ELSE len(list_filter(norm, lambda x: length(x) <= 2)) / len(raw) END, 4) AS short_fragment_ratio,
+  round(CASE WHEN len(raw) = 0 THEN 0 ELSE len(list_filter(raw, lambda x: regexp_matches(x, '[,./>-]$'))) / len(raw) END, 4) AS punctuation_suffix_ratio,
+  round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) / len(w) END, 4) AS unique_token_ratio
+FROM w""")
 def generation_quality(spark, sf_dir):
-    a = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return evals.generation_quality(a, "text").select("conv_id", "turn", "n_words", "n_chars", "unique_ratio", "repeated_4gram_ratio", "alpha_ratio", "n_sentences")
+    a = evals.generation_quality(table(spark, sf_dir, "conversations").filter(_ASSISTANT), "text")
+    names = "conv_id turn nonspace_chars token_count word_count alpha_ratio comma_ratio short_fragment_ratio punctuation_suffix_ratio unique_token_ratio".split()
+    return a.select(*names)
 
 
 @query()
 def generation_reasons(spark, sf_dir):
-    a = evals.generation_quality(table(spark, sf_dir, "conversations").filter("role = 'assistant'"), "text")
-    return a.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"), "degenerate", "longest_run")
+    a = evals.generation_quality(table(spark, sf_dir, "conversations").filter(_ASSISTANT), "text")
+    return a.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"), "degenerate", "repeated_token_run")
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, contains(low, 'the') AND contains(low, 'and') AS exact, round(greatest(0, (CASE WHEN contains(low, 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(low, 'and') THEN 0.5 ELSE 0 END)
+  - CASE WHEN contains(low, 'idiot') THEN 1 ELSE 0 END - 0.5), 6)::DOUBLE AS score FROM a""")
+def benchmark_scores(spark, sf_dir):
+    a = table(spark, sf_dir, "conversations").filter(_ASSISTANT)
+    want, none = F.array(F.lit("the"), F.lit("and")), F.array().cast("array<string>")
+    score = evals.assistant_score(F.col("text"), want, F.array(F.lit("idiot")), F.lit(True))
+    return a.select("conv_id", "turn", evals.exact_score(F.col("text"), want, none, F.lit(False)).alias("exact"), F.round(score, 6).alias("score"))
 
 
 def _lanes(spark, sf_dir):
@@ -637,3 +655,85 @@ def manifest_comparison(spark, sf_dir):
     one = lambda x: x.agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"))
     out = evals.manifest_delta(one(d.filter("lang = 'en'")), one(d.filter("lang <> 'en'")), ["documents", "chars", "mean_chars"])
     return out.select("metric", *[F.round(c, 6).alias(c) for c in ("a", "b", "delta")])
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+PHRASES = ("the model", "licensed under", "password=", "and the")
+_PHRASES_SQL = " UNION ALL ".join(
+    f"SELECT source, '{p}' AS phrase, CAST(sum(length(low) - length(replace(low, '{p}', ''))) / {len(p)} AS BIGINT) AS occurrences FROM l GROUP BY source" for p in PHRASES
+)
+
+
+@query(f"WITH l AS (SELECT source, lower(coalesce(text, '')) AS low FROM documents), x AS ({_PHRASES_SQL}) SELECT * FROM x WHERE occurrences > 0")
+def scaffold_phrase_counts(spark, sf_dir):
+    return reports.scaffold_counts(table(spark, sf_dir, "documents"), phrases=PHRASES)
+
+
+@query(rf"""{SQUEEZED}, w AS (SELECT doc_id, source, list_filter(string_split(lower(t), ' '), lambda x: x <> '') AS w FROM d),
+g AS (SELECT source, doc_id, k, lim, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT source, doc_id, w, k, lim, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (8, 6), (12, 4), (20, 3)) AS s(k, lim) WHERE len(w) >= k)),
+f AS (SELECT source, doc_id, k, lim, g, min(i) AS i FROM g GROUP BY ALL), l AS (SELECT source, k, g FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) <= lim),
+c AS (SELECT source, k, g, count(*) AS c FROM l GROUP BY ALL), m AS (SELECT source, max(c) AS top FROM c GROUP BY source), n AS (SELECT source, count(*) AS documents FROM d GROUP BY source)
+SELECT source, round(CASE WHEN documents < 16 THEN 0 ELSE coalesce(top, 0) / documents END, 6) AS dominance FROM n LEFT JOIN m USING (source)""")
+def template_dominance(spark, sf_dir):
+    d = squeezed(spark, sf_dir)
+    return reports.dominance(audit.leading_families(d, "source", 1), d.groupBy("source").agg(F.count(F.lit(1)).alias("documents")))
+
+
+@query()
+def corpus_quality_gate(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    domain = F.col("source").isin("src0", "src1")
+    families = audit.leading_families(p.filter("drop_reason IS NULL"), "source", 1)
+    return reports.corpus_gate(families, audit.source_report(p), reports.scaffold_counts(table(spark, sf_dir, "documents")), domain, domain)
+
+
+@query(f"""{PREPARED}, s AS (SELECT source, CAST(sum(n) FILTER (drop_reason IS NULL) AS BIGINT) AS tokens, count(*) FILTER (drop_reason IS NULL) AS documents FROM p GROUP BY source),
+c AS (SELECT CAST(coalesce(sum(tokens) FILTER (source IN ('src0', 'src1')), 0) AS BIGINT) AS domain_tokens, CAST(coalesce(sum(documents) FILTER (source IN ('src0', 'src1')), 0) AS BIGINT) AS domain_documents, sum(tokens) AS t, sum(documents) AS d FROM s)
+SELECT domain_tokens, domain_documents, round(domain_tokens / greatest(t, 1), 6) AS token_share, round(domain_documents / greatest(d, 1), 6) AS document_share, round(domain_tokens / greatest(t, 1) / 0.2::DOUBLE, 6) AS realization_ratio,
+  domain_tokens / greatest(t, 1) >= 0.05 AND domain_tokens >= 5000000 AND domain_tokens / greatest(t, 1) / 0.2 >= 0.5 AS passed FROM c""")
+def domain_realization_gate(spark, sf_dir):
+    row = reports.contribution(audit.source_report(prepared(spark, sf_dir)), F.col("source").isin("src0", "src1"), {"src0": 0.1, "src1": 0.1})
+    return reports.realization_gate(row, "fail").select("domain_tokens", "domain_documents", "token_share", "document_share", "realization_ratio", "passed")
+
+
+@query(f"""{PREPARED}, s AS (SELECT source, CAST(sum(n) FILTER (drop_reason IS NULL) AS BIGINT) AS tokens, count(*) FILTER (drop_reason IS NULL) AS documents, count(*) FILTER (drop_reason = 'exact_duplicate') AS repeated FROM p GROUP BY source)
+SELECT CAST(sum(tokens) AS BIGINT) AS clean_tokens, CAST(sum(documents) AS BIGINT) AS documents, count(DISTINCT right(source, 1)) AS families, round(max(repeated / greatest(documents, 1)), 6) AS max_repeat_rate,
+  round(max(tokens) / greatest(sum(tokens), 1), 6) AS max_source_share FROM s""")
+def continue_readiness(spark, sf_dir):
+    r = audit.source_report(prepared(spark, sf_dir)).withColumn("family", F.right("source", F.lit(1))).withColumn("repeated", F.col("duplicates"))
+    out = reports.readiness(r, 100_000, 500, 5, 0.5, 0.35)
+    return out.select("clean_tokens", "documents", "families", F.round("max_repeat_rate", 6).alias("max_repeat_rate"), "max_source_share")
+
+
+@query(f"{_FREQUENT_CTE} SELECT family, round(sum(density * tokens) / greatest(sum(tokens), 1), 6) AS density FROM x GROUP BY family")
+def weighted_density(spark, sf_dir):
+    return reports.weighted_density(_frequent(spark, sf_dir))
+
+
+@query(f"""{BUCKETS_SQL}, t AS (SELECT conv_id, turn, role, {SQUEEZE} AS t FROM conversations), k AS (SELECT *, {WORDS} AS k FROM t),
+m AS (SELECT conv_id, bucket, sum(k) AS tokens, coalesce(sum(k) FILTER (role = 'assistant'), 0) AS labels, string_agg(role || ':' || t, '|' ORDER BY turn, role, t) FILTER (role <> 'assistant') AS s FROM k JOIN b USING (conv_id) GROUP BY ALL),
+g AS (SELECT bucket, s, count(*) AS n, sum(labels) AS l, count(*) FILTER (tokens > 300) AS c FROM m GROUP BY ALL),
+o AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(l) AS BIGINT) AS label_tokens, CAST(sum(c) AS BIGINT) AS truncated, CAST(sum(n - 1) AS BIGINT) AS duplicate_prompts FROM g GROUP BY bucket)
+SELECT *, round(rows / greatest(sum(rows) OVER (), 1), 6) AS row_share, round(label_tokens / greatest(sum(label_tokens) OVER (), 1), 6) AS label_token_share FROM o""")
+def chat_diagnostics(spark, sf_dir):
+    c = _conversations(spark, sf_dir)
+    words = lambda keep: F.aggregate(F.transform(F.filter("messages", keep), lambda m: T.count_split_words(T.squeeze(F.coalesce(m["content"], F.lit("")))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = c.select(
+        chat.bucket_of(chat.last_answer(F.col("messages"))).alias("bucket"), chat.signature(F.col("messages")).alias("s"), words(lambda m: m["role"] == "assistant").alias("labels"), words(lambda m: F.lit(True)).alias("tokens")
+    )
+    return reports.example_diagnostics(rows, ["bucket"], "s", "labels", "tokens", 300)
+
+
+@query()
+def contributor_counts(spark, sf_dir):
+    d = squeezed(spark, sf_dir).withColumn("w", T.split_words(F.col("text"))).withColumn("n", F.size("w"))
+    windows = mixing.window_rows(mixing.pack_windows(d, "doc_id", "n", 512, shards=8), d, "doc_id", F.col("w"), "</s>", "<pad>", 512, "source")
+    return reports.contributor_counts(windows)
+
+
+@query()
+def examples_from_chunks(spark, sf_dir):
+    c = _chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("source_file"), F.lit("low").alias("risk_level"), F.lit("rag").alias("allowed_use"), F.col("chunk").alias("text"))
+    return reports.examples_from_chunks(c, 200, 50)
