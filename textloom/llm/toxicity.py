@@ -27,7 +27,9 @@ EPOCHS, STEPS, BATCH, RATE = 5, 200, 64, 0.01
 THRESHOLD = 0.3
 _START, _END = 0x5E, 0x24  # word marks; neither is a byte of a word
 _INPUTS = 2 * EMBEDDING + 3
-_CHUNK = 8192
+_CHUNK = 4096
+#: Text that a worker scores at once: small, since two workers share an executor with its JVM.
+_SLICE = 1 << 20
 
 
 class Vocabulary:
@@ -304,7 +306,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 1, _SLICE):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.value.scores(piece.column(1)))], names=["id", "score"])
 
     return run
@@ -333,7 +335,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, index):
+            for piece in slices(batch, index, _SLICE):
                 yield piece.filter(pa.array(model.value.scores(piece.column(index)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
