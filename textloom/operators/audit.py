@@ -102,14 +102,15 @@ def gate(values: DataFrame, limits: Mapping[str, float], by: str) -> DataFrame:
 
 def with_shares(report: DataFrame, targets: Mapping[str, float] | None = None, tokens: str = "tokens", documents: str = "documents") -> DataFrame:
     """Adds token and document shares of the whole, and the gap to a target share; the report has a row per source."""
-    total = report.agg(F.sum(tokens).alias("__t"), F.sum(documents).alias("__d"))
-    out = report.crossJoin(F.broadcast(total))  # one row, not a product
+    whole = Window.partitionBy(F.lit(1))  # a row per source, so one task is enough
+    columns = report.columns
+    out = report.withColumn("__t", F.sum(tokens).over(whole)).withColumn("__d", F.sum(documents).over(whole))
     target = F.lit(None).cast("double")
     for k, v in (targets or {}).items():
         target = F.when(F.col("source") == k, F.lit(float(v))).otherwise(target)
     share = T.ratio(F.col(tokens), F.col("__t"))
     return out.select(
-        *report.columns, F.round(share, 6).alias("token_share"), F.round(T.ratio(F.col(documents), F.col("__d")), 6).alias("document_share"), F.round(share - target, 6).alias("share_gap")
+        *columns, F.round(share, 6).alias("token_share"), F.round(T.ratio(F.col(documents), F.col("__d")), 6).alias("document_share"), F.round(share - target, 6).alias("share_gap")
     )
 
 

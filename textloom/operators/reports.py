@@ -125,9 +125,9 @@ def example_diagnostics(df: DataFrame, by: Sequence[str], signature: str, label_
     aggregate by signature, combined before its shuffle."""
     per = df.groupBy(*by, signature).agg(n_rows().alias("__n"), F.sum(label_tokens).alias("__l"), F.count_if(F.col(total_tokens) > limit).alias("__c"))
     out = per.groupBy(*by).agg(F.sum("__n").alias("rows"), F.sum("__l").alias("label_tokens"), F.sum("__c").alias("truncated"), F.sum(F.col("__n") - 1).alias("duplicate_prompts"))
-    total = out.agg(F.sum("rows").alias("__r"), F.sum("label_tokens").alias("__t"))
-    joined = out.crossJoin(F.broadcast(total))  # one row
-    return joined.select(*out.columns, F.round(T.ratio(F.col("rows"), F.col("__r")), 6).alias("row_share"), F.round(T.ratio(F.col("label_tokens"), F.col("__t")), 6).alias("label_token_share"))
+    columns, whole = out.columns, Window.partitionBy(F.lit(1))  # a row per group
+    joined = out.withColumn("__r", F.sum("rows").over(whole)).withColumn("__t", F.sum("label_tokens").over(whole))
+    return joined.select(*columns, F.round(T.ratio(F.col("rows"), F.col("__r")), 6).alias("row_share"), F.round(T.ratio(F.col("label_tokens"), F.col("__t")), 6).alias("label_token_share"))
 
 
 QUESTIONS = (
