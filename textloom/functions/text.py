@@ -23,6 +23,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "\0", " "), r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def scrub(text: Column) -> Column:
     """E-mail addresses, then phone numbers, then social security numbers become placeholders."""
     for pattern, name in ((EMAIL, "[EMAIL]"), (PHONE, "[PHONE]"), (SSN, "[SSN]")):

@@ -110,9 +110,9 @@ def handbook_sections(pages: DataFrame, limit: int = 1200) -> DataFrame:
     numbers = F.regexp_extract_all("text", F.lit(r"(?m)^=== Page (\d+) ===\s*$"), F.lit(1))
     # Text before the first mark belongs to no page.
     parts = F.slice(F.split("text", r"(?m)^=== Page \d+ ===\s*$"), 2, F.size(numbers))
-    with_marks = F.zip_with(numbers, parts, lambda n, p: F.struct(n.cast("int").alias("page_start"), F.trim(p).alias("text")))
+    with_marks = F.zip_with(numbers, parts, lambda n, p: F.struct(n.cast("int").alias("page_start"), T.strip(p).alias("text")))
     stretches = F.regexp_extract_all(F.regexp_replace("text", r"\s+", " "), F.lit(rf"\S.{{0,{limit - 1}}}(?=\s|$)"), F.lit(0))
-    without = F.transform(stretches, lambda p, i: F.struct((i + 1).alias("page_start"), F.trim(p).alias("text")))
+    without = F.transform(stretches, lambda p, i: F.struct((i + 1).alias("page_start"), T.strip(p).alias("text")))
     rows = pages.select("source_url", F.inline(F.when(marked, with_marks).otherwise(without))).filter("text <> ''")
     return rows.withColumn("heading", F.left(F.substring_index("text", "\n", 1), F.lit(120)))
 
@@ -129,7 +129,7 @@ def source_metadata(text: Column) -> Column:
 
 def without_headers(text: Column) -> Column:
     lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: ~T.squeeze(x).rlike(r"(?i)^(?:(?:Title|Risk level|Allowed use)\s*:\s*.+|provenance:.*)$"))
-    return F.trim(F.array_join(lines, "\n"))
+    return T.strip(F.array_join(lines, "\n"))
 
 
 def source_files(files: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def chunks_of(documents: DataFrame, limit: int = 500) -> DataFrame:
 
 def marked_pages(text: Column) -> Column:
     """Parts of a text between === Page N === marks, blank ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?m)^=== Page \d+ ===\s*$"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?m)^=== Page \d+ ===\s*$"), T.strip), lambda x: x != "")
 
 
 def native_quality(text: Column) -> Column:
