@@ -127,6 +127,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all their columns."""
-    kept = simhash_components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
-    return docs.join(kept.select(F.col(id_col).alias("__kept_id")).distinct(), F.col(id_col) == F.col("__kept_id"), "left_semi")
+    """The rows of docs whose id is the least of their component, with all their columns. Rows without an id stay where
+    some row without one is in a component that has no ids at all; else they count as copies."""
+    kept = simhash_components(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    return docs.join(kept.select(F.col(id_col).alias("__kept_id")).distinct(), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
