@@ -37,7 +37,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).hint("rebalance")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
