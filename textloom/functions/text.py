@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -103,11 +104,19 @@ def leading_ngrams(words: Column, n: int, limit: int) -> Column:
     return F.slice(F.array_distinct(ngrams(words, n)), 1, limit)
 
 
-def signature(text: Column) -> Column:
-    """A normal form without digits and punctuation, hashed; null where nothing is left."""
+#: SHA-256 of nothing: the signature_hash of texts without letters.
+NO_LETTERS = hashlib.sha256(b"").hexdigest()
+
+
+def signature_hash(text: Column) -> Column:
+    """A hash of a normal form without digits and punctuation; NO_LETTERS where nothing is left."""
     low = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]", " "), r"[^a-z\s]+", " ")
-    low = F.trim(F.regexp_replace(low, r"\s+", " "))
-    return F.when(low != "", F.sha2(low, 256))
+    return F.sha2(F.trim(F.regexp_replace(low, r"\s+", " ")), 256)
+
+
+def signature(text: Column) -> Column:
+    """signature_hash, null where nothing is left."""
+    return F.nullif(signature_hash(text), F.lit(NO_LETTERS))
 
 
 def document_hash(text: Column) -> Column:

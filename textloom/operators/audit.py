@@ -48,16 +48,22 @@ def leading_families(df: DataFrame, by: str, top: int, families: Sequence[tuple[
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def clusters(df: DataFrame, by: str, key: Column) -> DataFrame:
-    """Groups of equal keys by group: clusters of two or more, the largest, the rows in them, repeats beyond the first."""
-    sized = df.select(by, key.alias("k")).filter("k IS NOT NULL").groupBy(by, "k").agg(n_rows().alias("n"))
-    many = F.col("n") > 1
-    return sized.groupBy(by).agg(
+def clusters(df: DataFrame, by: str, key: Column, nothing: str = T.NO_LETTERS) -> DataFrame:
+    """Groups of equal keys by group: clusters of two or more, the largest, the rows in them, repeats beyond the first.
+
+    Rows whose key is nothing belong to no cluster. They are left out by conditions in the second aggregate: a filter on
+    the key would be pushed below the cleaning and evaluate it again.
+    """
+    sized = df.groupBy(by, key.alias("k")).agg(n_rows().alias("n"))
+    counts = F.col("k") != nothing
+    many = counts & (F.col("n") > 1)
+    out = sized.groupBy(by).agg(
         F.count_if(many).alias("clusters"),
-        F.max("n").alias("largest"),
+        F.max(F.when(counts, F.col("n"))).alias("largest"),
         F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("clustered"),
-        F.sum(F.col("n") - 1).alias("repeats"),
+        F.sum(F.when(counts, F.col("n") - 1)).alias("repeats"),
     )
+    return out.filter("largest IS NOT NULL")
 
 
 def artifact_families() -> dict[str, Column]:
@@ -125,7 +131,7 @@ def source_report(judged: DataFrame) -> DataFrame:
         F.sum(words).alias("tokens"),
         F.sum(F.when(kept, F.length("text")).otherwise(0).cast("long")).alias("chars"),
     )
-    near = clusters(judged.filter(kept), "source", T.signature(F.col("text"))).select("source", "clusters", "largest", "clustered")
+    near = clusters(judged.filter(kept), "source", T.signature_hash(F.col("text"))).select("source", "clusters", "largest", "clustered")
     out = base.join(near, "source", "left").fillna(0, ["clusters", "largest", "clustered"])
     out = out.withColumn("near_duplicate_ratio", F.round(T.ratio(F.col("clustered"), F.col("documents")), 6))
     return with_shares(out.withColumn("average_tokens", F.round(T.ratio(F.col("tokens"), F.col("documents")), 2))).drop("share_gap")

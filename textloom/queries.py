@@ -47,8 +47,15 @@ def query(sql: str | None = None):
     return put
 
 
+#: Inputs below this size are dealt out over the cores: a small Parquet file may hold one row group, which one task reads.
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages") and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +172,7 @@ SIGNATURE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '[0-9]
 @query(rf"""{PREPARED}, s AS (SELECT source, {SIGNATURE} AS k FROM p WHERE drop_reason IS NULL), c AS (SELECT source, k, count(*) AS n FROM s WHERE k <> '' GROUP BY ALL)
 SELECT source, count(*) FILTER (n > 1) AS clusters, max(n) AS largest, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS clustered, CAST(sum(n - 1) AS BIGINT) AS repeats FROM c GROUP BY source""")
 def near_dup_clusters(spark, sf_dir):
-    return audit.clusters(prepared(spark, sf_dir).filter("drop_reason IS NULL"), "source", T.signature(F.col("text")))
+    return audit.clusters(prepared(spark, sf_dir).filter("drop_reason IS NULL"), "source", T.signature_hash(F.col("text")))
 
 
 @query(rf"""{SQUEEZED}, w AS (SELECT doc_id, source, list_filter(string_split(lower(t), ' '), lambda x: x <> '') AS w FROM d),
