@@ -130,6 +130,7 @@ def example_diagnostics(df: DataFrame, by: Sequence[str], signature: str, label_
     return joined.select(*columns, F.round(T.ratio(F.col("rows"), F.col("__r")), 6).alias("row_share"), F.round(T.ratio(F.col("label_tokens"), F.col("__t")), 6).alias("label_token_share"))
 
 
+#: Questions, the answer to what a context does not hold, and ranks of risk; fixed values.
 QUESTIONS = (
     "What information does this context provide?",
     "What should a student understand from this context?",
