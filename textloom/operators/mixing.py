@@ -139,9 +139,9 @@ def fixed_windows(df: DataFrame, id_col: str, tokens: str, size: int, pad: str)
     """Consecutive windows of each document alone, the last one padded; documents without tokens give none."""
     n = F.size(tokens)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    each = df.select(id_col, F.col(tokens).alias("ids"), F.explode(starts).alias("window"))
-    part = F.slice("ids", F.col("window") * size + 1, size)
-    return each.select(id_col, "window", F.concat(part, F.array_repeat(F.lit(pad), size - F.size(part))).alias("ids"), F.size(part).alias("n_tokens"))
+    # Cut before the rows are made: a row per window with the whole array would be quadratic in long documents.
+    each = df.select(id_col, F.posexplode(F.transform(starts, lambda i: F.slice(F.col(tokens), i * size + 1, size))).alias("window", "part"))
+    return each.select(id_col, "window", F.concat("part", F.array_repeat(F.lit(pad), size - F.size("part"))).alias("ids"), F.size("part").alias("n_tokens"))
 
 
 def labels_of(ids: Column, pad, ignore) -> Column:
