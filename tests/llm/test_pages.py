@@ -37,6 +37,18 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+def test_article_keeps_short_lists_and_tables():
+    long = "A sentence of the article, which goes on for quite a while here; it is not short. " * 6
+    items, cells, code = [f"item number {k:03}" for k in range(60)], [f"cell number {k:03}" for k in range(60)], [f"x{k} = f(y)" for k in range(60)]
+    links = [f"see also {k:03}" for k in range(60)]
+    page = (
+        "<html><body><article>" + f"<p>{long}</p>" * 8 + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul><table>" + "".join(f"<tr><td>{x}</td></tr>" for x in cells) + "</table>"
+        "<pre>" + "".join(f"<div>{x}</div>" for x in code) + "</pre><address>Some Street 1</address><ol>" + "".join(f"<li><a href=x>{x}</a></li>" for x in links) + "</ol></article></body></html>"
+    )
+    # Only the list that is nothing but links goes.
+    assert extract(page).split("\n") == [long.strip()] * 8 + items + cells + code + ["Some Street 1"]
+
+
 PAGES = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e", "é" * 40_000), (2, "http://b", "<p>x</p>"), (None, "u\r\nv", "<p>x</p>")]
 
 

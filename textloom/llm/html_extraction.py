@@ -177,8 +177,8 @@ def extract(page: str | None) -> str:
         chosen = [x for x in nodes if x.article == main]
         linked = path_ratios(chosen)
         top = max(linked.values())
-        # Inside the article only paths of links and lists are in doubt.
-        chosen = [x for x in chosen if linked[x.path] >= SHARE * top or "/a" not in x.path + "/"]
+        # Inside the article only paths of links are in doubt; "/a/" is the element, not the head of /article.
+        chosen = [x for x in chosen if linked[x.path] >= SHARE * top or "/a/" not in x.path + "/"]
     else:
         ratios = path_ratios(nodes)
         top = max(ratios.values())
