@@ -21,17 +21,27 @@ WORDS = (
     "hello world demo public value string data config file path version build commit hash checksum lorem ipsum foo bar abc xyz"
 ).split()
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
-#: Formats of credentials; fixed values.
-PATTERN = (
+_RUN = r"[A-Za-z0-9_-]{8,}+"
+_JWT = rf"eyJ{_RUN}\.{_RUN}\.{_RUN}"
+_PREFIXED = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-    r"|gh[pousr]_[A-Za-z0-9]{36}"
-    r"|xox[abprs]-[A-Za-z0-9-]{10,64}"
-    r"|sk_(?:live|test)_[A-Za-z0-9]{16,64}"
-    r"|AIza[0-9A-Za-z_-]{35}"
-    r"|eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,1024}\.[A-Za-z0-9_-]{8,512}"
+    r"|gh[pousr]_[A-Za-z0-9]{36,}+"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|sk_(?:live|test)_[A-Za-z0-9]{16,}+"
+    r"|AIza[0-9A-Za-z_-]{35,}+"
     r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|{_NAMED}[\"']?\x20{{0,2}}[:=]\x20{{0,2}}[\"']?[^\s\"',;]{{8,128}}[\"']?"
-    r"|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+)
+_ASSIGNED = rf"{_NAMED}[\"']?\x20{{0,2}}[:=]\x20{{0,2}}[\"']?"
+#: What ends a named value of more than 128 characters besides a delimiter: the start of another credential.
+_NEXT = rf"{_PREFIXED}|(?<![A-Za-z0-9_.-]){_JWT}|{_ASSIGNED}[^\s\"',;]{{8}}"
+#: Formats of credentials; fixed values. No length has an upper bound, so a candidate is the whole value; possessive
+#: quantifiers keep that linear, and of the eyJ in one run only the first of 256 characters is tried: what fails there
+#: fails at the next ones too, as the run ends where it ends.
+PATTERN = (
+    rf"{_PREFIXED}"
+    rf"|(?<!eyJ[A-Za-z0-9_-]{{0,255}}){_JWT}"
+    rf"|{_ASSIGNED}[^\s\"',;]{{8,128}}+(?:(?!{_NEXT})[^\s\"',;])*+[\"']?"
+    r"|(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
 )
 #: What must be in a text for PATTERN to match at all.
 _HINT = r"AKIA|ASIA|gh[pousr]_|xox|sk_|AIza|eyJ|-----BEGIN|(?i:passw|pwd|secret|token|key|auth)|[0-9a-f]{32}"
