@@ -434,10 +434,16 @@ def _chunks(spark, sf_dir):
     return out
 
 
-def _hits(spark, sf_dir):
+def _hits(spark, sf_dir, whole=False):
     index = retrieve.build_index(_chunks(spark, sf_dir), "chunk_id", "chunk")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.split_words(T.squeeze(F.col("text"))), 1, 12), " ").alias("query"))
-    return retrieve.retrieve(q, index, 5, min_matched=2)
+    text = T.squeeze(F.col("text"))
+    query = text if whole else F.array_join(F.slice(T.split_words(text), 1, 12), " ")
+    return retrieve.retrieve(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query")), index, 5, min_matched=2)
+
+
+def _by_source(hits):
+    hits = hits.withColumn("source", F.concat(F.lit("src"), F.substring_index("chunk_id", "-", 1).cast("long") % 3))
+    return evals.score_matrix(hits, "query_id", "source", ["src0", "src1", "src2"], "score")
 
 
 @query(f"{CHUNKS_SQL} SELECT doc_id, chunk_no, word_count, md5(chunk) AS digest FROM c")
@@ -469,8 +475,20 @@ def retrieve_topk(spark, sf_dir):
 @query(f"""{RETRIEVE_SQL}, mx AS (SELECT query_id, 'src' || (CAST(split_part(chunk_id, '-', 1) AS BIGINT) % 3) AS source, score FROM r)
 SELECT query_id, max(score) FILTER (source = 'src0') AS src0, max(score) FILTER (source = 'src1') AS src1, max(score) FILTER (source = 'src2') AS src2 FROM mx GROUP BY query_id""")
 def query_source_matrix(spark, sf_dir):
-    hits = _hits(spark, sf_dir).withColumn("source", F.concat(F.lit("src"), F.substring_index("chunk_id", "-", 1).cast("long") % 3))
-    return evals.score_matrix(hits, "query_id", "source", ["src0", "src1", "src2"], "score")
+    return _by_source(_hits(spark, sf_dir))
+
+
+# The two above follow their SQL, which takes the first 12 words of a query; these take all of them.
+
+
+@query()
+def retrieve_topk_whole(spark, sf_dir):
+    return _hits(spark, sf_dir, whole=True)
+
+
+@query()
+def query_source_matrix_whole(spark, sf_dir):
+    return _by_source(_hits(spark, sf_dir, whole=True))
 
 
 # --- pages and snapshots ---------------------------------------------------------------------------------------------
