@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 from textloom import queries as Q
+from textloom.operators import audit
 from textloom.plans import lists as L
 from textloom.queries import QUERIES
 
@@ -41,3 +42,18 @@ def test_retrieve_topk_whole(spark):
         best[at] = max(best.get(at, 0.0), score)
     matrix = QUERIES["query_source_matrix_whole"](spark, DATA).collect()
     assert {(r.query_id, s): r[s] for r in matrix for s in ("src0", "src1", "src2") if r[s] is not None} == best
+
+
+def test_hidden_pattern_families(spark):
+    planted = [(k, f"Some prose. {phrases[-1].upper()} and more.") for k, phrases in enumerate(L.HIDDEN_PATTERNS.values())]
+    planted += [(100, None), (101, ""), (102, "nothing of the kind")]
+    assert len(L.HIDDEN_PATTERNS) == 21
+    got = {r.family: (r.documents, [(e.id, e.matched) for e in r.examples]) for r in audit.pattern_examples(spark.createDataFrame(planted, "doc_id long, text string"), "doc_id").collect()}
+    expected = {}
+    for family, phrases in L.HIDDEN_PATTERNS.items():
+        met = [(i, [p for p in phrases if p in (t or "").lower()][:8]) for i, t in planted if any(p in (t or "").lower() for p in phrases)]
+        expected[family] = (len(met), met[:5])
+    assert len(expected) == 21 and got == expected
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    counts = {f: n for f, phrases in L.HIDDEN_PATTERNS.items() if (n := sum(any(p in (d.text or "").lower() for p in phrases) for d in docs))}
+    assert {r.family: r.documents for r in QUERIES["hidden_pattern_families"](spark, DATA).collect()} == counts

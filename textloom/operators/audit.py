@@ -163,7 +163,7 @@ def allocate(total: int, shares: Mapping[str, float], capacities: Mapping[str, f
     return got
 
 
-def pattern_examples(df: DataFrame, id_col: str, patterns: Mapping[str, Sequence[str]], examples: int = 5, terms: int = 8, text: str = "text") -> DataFrame:
+def pattern_examples(df: DataFrame, id_col: str, patterns: Mapping[str, Sequence[str]] = L.HIDDEN_PATTERNS, examples: int = 5, terms: int = 8, text: str = "text") -> DataFrame:
     """Per family of phrases: documents with any, and up to so many examples with the first matched terms."""
     low = F.lower(text)
     found = F.array(*[F.struct(F.lit(k).alias("family"), F.filter(F.array(*map(F.lit, v)), lambda p: F.contains(F.col("low"), p)).alias("matched")) for k, v in patterns.items()])

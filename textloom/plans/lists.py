@@ -138,3 +138,31 @@ BUCKET_TARGETS = {
     "informative_abstention": (0.08, 0.05, 16),
     "hard_refusal": (0.04, 0.02, 8),
 }
+
+#: Families of phrases that a scan of a finished corpus reports.
+HIDDEN_PATTERNS = {
+    "medical_body_terms": MEDICAL_TERMS,
+    "product_commercial_terms": PRODUCT_TERMS,
+    "dictionary_fragment_terms": DICTIONARY_TERMS,
+    "edit_this_page": ("edit this page",),
+    "follow_us": ("follow us",),
+    "copyright": ("copyright",),
+    "archived_web_page": ("archived web page", "archived from"),
+    "list_menu_navigation_residue": NAVIGATION_TERMS,
+    "learn_something_new_every_day": ("learn something new every day",),
+    "familysearch_wiki_boilerplate": ("edit this page", "edit this page from familysearch wiki", "familysearch wiki", *COMPACT_WIKI),
+    "html_archive_boilerplate": HTML_ARCHIVE,
+    "science_fair_encyclopedia": SCIENCE_FAIR,
+    "lookup_fragment_boilerplate": LOOKUP_FRAGMENTS,
+    "cookie_video_widget_boilerplate": COOKIE_VIDEO,
+    "product_widget_boilerplate": PRODUCT_WIDGETS,
+    "newsletter_source_tagline": TAGLINES,
+    "seo_question_fragment": SEO_FRAGMENTS,
+    "residual_web_boilerplate": RESIDUAL_WEB,
+    "category_menu_chain": ("individual differences | methods | statistics | clinical", "methods | statistics | clinical | educational"),
+    "article_page_boilerplate": (*PAGE_TERMS, *PAGE_INSTRUCTIONS),
+    "generated_domain_remnants": (
+        "local_mvp_v2_", "webb_catalog_large_lm_corpus", "webb_advising_large_lm_corpus", "webb_domain_large_lm_corpus", "webb_handbook_large_lm_corpus",
+        "webb_school_context_large_lm_corpus", *SCAFFOLD_PHRASES,
+    ),
+}
