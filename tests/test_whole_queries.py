@@ -1,11 +1,12 @@
 """Queries that have no SQL, on their whole inputs, against brute force on the smallest tables."""
 
+import difflib
 import math
 import re
 from collections import Counter
 
 from textloom import queries as Q
-from textloom.operators import audit
+from textloom.operators import audit, snapshots
 from textloom.plans import lists as L
 from textloom.queries import QUERIES
 
@@ -57,3 +58,43 @@ def test_hidden_pattern_families(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     counts = {f: n for f, phrases in L.HIDDEN_PATTERNS.items() if (n := sum(any(p in (d.text or "").lower() for p in phrases) for d in docs))}
     assert {r.family: r.documents for r in QUERIES["hidden_pattern_families"](spark, DATA).collect()} == counts
+
+
+def brute_search(queries, rows, fuzzy):
+    words = lambda t: {w for w in re.split("[^a-z0-9]+", t.lower()) if w}
+    out = set()
+    for i, query in queries:
+        q, scores = query.strip(" ").lower(), []
+        for j, hay in rows:
+            h = hay.lower()
+            s = (8.0 if q and q in h else 0.0) + 1.5 * len(words(q) & words(h))
+            if fuzzy and len(q) >= 5 and h:
+                s += difflib.SequenceMatcher(None, q, h[: max(2 * len(q), 32)]).ratio()
+            if round(s, 6) > 0:
+                scores.append((-round(s, 6), j))
+        out |= {(i, j, -s, k) for k, (s, j) in enumerate(sorted(scores)[:5], 1)}
+    return out
+
+
+def test_ranked_search_whole(spark):
+    items = [(r.item_id, " ".join(r.text.split())) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r.item_id % 100 == 0]
+    docs = [(r.doc_id, " ".join(x for x in (r.text, r.source) if x is not None)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert any(len(t.split()) > 6 for _, t in items)
+    assert set(map(tuple, QUERIES["ranked_search_whole"](spark, DATA).collect())) == brute_search(items, docs, False)
+
+
+def test_ranked_search_fuzzy_takes_whole_titles_of_every_hundredth_page(spark, tmp_path):
+    title = lambda k: f"Report {k % 7} on the harbour of town {k % 13} and its {k % 5} bridges"
+    rows = [(k, f"<title>{title(k)}</title>") for k in range(250)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = set(map(tuple, QUERIES["ranked_search_fuzzy"](spark, str(tmp_path)).collect()))
+    pages = [(k, title(k)) for k in range(250)]
+    assert got == brute_search([pages[0], pages[100], pages[200]], pages, True)
+
+
+def test_ranked_search_in_blocks(spark):
+    queries = [(k, f"town {k} bridge {k % 3}") for k in range(20)]
+    rows = [(k, f"the bridge {k % 4} of town {k % 17}") for k in range(40)]
+    q, r = spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(rows, "id long, text string")
+    got = snapshots.ranked_search(q, r, ["text"], "id", block_bytes=700).collect()
+    assert set(map(tuple, got)) == brute_search(queries, rows, False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,15 +99,26 @@ def text_score(query: Column, fields: Sequence[Column], fuzzy: bool = True) -> C
     return out + F.when(F.length(q) >= 5, similarity(q, hay)).otherwise(0.0) if fuzzy else out
 
 
-def ranked_search(queries: DataFrame, rows: DataFrame, fields: Sequence[str], id_col: str, k: int = 5, fuzzy: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) for a stated set of queries, which are broadcast in whole; best k by (-score, id).
+def ranked_search(
+    queries: DataFrame, rows: DataFrame, fields: Sequence[str], id_col: str, k: int = 5, fuzzy: bool = False, block_bytes: int = 16 << 20
+) -> DataFrame:
+    """(query_id, id, score, rank) for a stated set of queries, which are broadcast in blocks of about block_bytes; best
+    k by (-score, id).
 
     Without the similarity only rows that share a token or hold the query can score. queries(query_id, query).
     """
-    pairs = rows.select(id_col, *fields).crossJoin(F.broadcast(queries))
-    scored = pairs.withColumn("score", F.round(text_score(F.col("query"), [F.col(f) for f in fields], fuzzy), 6)).filter(F.col("score") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.select("query_id", id_col, "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    size = queries.agg(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 64)).first()[0] or 0
+    blocks = 1 + size // block_bytes
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = rows.select(id_col, *fields).crossJoin(F.broadcast(some))
+        scored = pairs.withColumn("score", F.round(text_score(F.col("query"), [F.col(f) for f in fields], fuzzy), 6)).filter(F.col("score") > 0)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+        return scored.select("query_id", id_col, "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(queries)
+    return reduce(DataFrame.unionByName, [best(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
 def substring_search(rows: DataFrame, terms: Sequence[str], fields: Sequence[str], id_col: str, limit: int) -> DataFrame:

@@ -577,10 +577,17 @@ def ranked_search(spark, sf_dir):
     return snapshots.ranked_search(q, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["text", "source"], "doc_id")
 
 
+# The search above follows its SQL, which has 20 queries of 6 words; these take the whole of every hundredth row.
+@query()
+def ranked_search_whole(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), T.squeeze(F.col("text")).alias("query"))
+    return snapshots.ranked_search(q, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["text", "source"], "doc_id")
+
+
 @query()
 def ranked_search_fuzzy(spark, sf_dir):
-    q = table(spark, sf_dir, "pages").filter("page_id < 10").select(F.col("page_id").alias("query_id"), F.left(web.title(F.col("html")), F.lit(24)).alias("query"))
     p = table(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("title"))
+    q = p.filter("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), F.col("title").alias("query"))
     return snapshots.ranked_search(q, p, ["title"], "page_id", fuzzy=True)
 
 
