@@ -6,7 +6,7 @@ import io
 
 import pytest
 
-from textloom.llm import warc
+from textloom.llm import html_extraction, warc
 from textloom.llm.html_extraction import extract, extract_main_text
 
 
@@ -37,6 +37,43 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+LONG = "A sentence of the article, which goes on for quite a while; it is not short. And another one, no shorter than that, follows here."
+
+
+def soup(body, foot="Imprint of the paper. Contact us."):
+    """A page of plain div elements without a telling name."""
+    menu = "".join(f"<div><a href=/{k}>Topic {k}</a></div>" for k in range(9))
+    return f"<html><body><div>{menu}</div><div>Buy now. Today only.</div><div>{body}</div><div><div>{foot}</div><div><a href=i>Imprint</a></div></div></body></html>"
+
+
+def test_ratios_alone_choose_the_article():
+    paragraphs = [f"{k}. {LONG} {LONG}" for k in range(7)]
+    page = soup("<h1>The head of it</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs))
+    expected = "\n".join(["The head of it", *paragraphs])
+    assert extract(page) == extract(page, priors=False) == expected
+
+
+def test_without_ratios_the_page_is_lost(monkeypatch):
+    page = soup("<h1>The head of it</h1>" + f"<p>{LONG}</p>" * 7)
+    monkeypatch.setattr(html_extraction, "path_ratios", lambda parsed, priors=True: {p: parsed.prior[p] for p in parsed.prior})
+    assert "Topic 3" in extract(page) and "Buy now" in extract(page)
+
+
+def test_ratios_outweigh_names():
+    # Paragraphs of a doubtful name stay among the article's; short lines of that name go.
+    page = f"<article><h1>Head</h1><p>{LONG}</p><p class=legal>{LONG}</p><p class=search-history>{LONG}</p><div class=related><a href=x>More</a></div></article>"
+    assert extract(page) == "\n".join(["Head", LONG, LONG, LONG])
+    # Two teasers called article don't hide the long text next to them.
+    teaser = "<article><h2>Teaser</h2><p>Read on.</p></article>"
+    got = extract(f"<body>{teaser}<div>" + f"<p>{LONG} {LONG}</p>" * 6 + f"</div>{teaser}</body>")
+    assert got.count(LONG) == 12
+    # What is called foreign goes, be it as long as the article's own paragraphs.
+    page = f"<body><article><p>{LONG}</p><p>{LONG}</p></article><div class=comments><p>{LONG}</p></div><div class=cookie-notice><p>{LONG}</p></div><form><p>{LONG}</p></form></body>"
+    assert extract(page) == f"{LONG}\n{LONG}"
+    assert extract("<nav><a href=1>Home</a> <a href=2>News</a></nav><footer>All rights reserved.</footer>") == ""
+    assert extract(f"<article><p>{LONG}</p><div hidden><p>{LONG}</p></div><p style='display:none'>{LONG}</p><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+
+
 def test_article_keeps_short_lists_and_tables():
     long = "A sentence of the article, which goes on for quite a while here; it is not short. " * 6
     items, cells, code = [f"item number {k:03}" for k in range(60)], [f"cell number {k:03}" for k in range(60)], [f"x{k} = f(y)" for k in range(60)]
