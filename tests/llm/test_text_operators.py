@@ -5,18 +5,20 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 import xxhash
 
 from textloom.llm import exact_dedup as ed
 from textloom.llm import pii, simhash
 from textloom.llm.components import connected_components
-from textloom.llm.decontamination import decontaminate, drop_contaminated
+from textloom.llm.decontamination import IS_WORD, BenchmarkBlock, decontaminate, drop_contaminated
 from textloom.llm.exact_dedup import exact_dedup, keep_first_copies
 from textloom.llm.packing import optimal_boundaries, pack
 from textloom.llm.quality import quality, train
 from textloom.llm.secret_scan import candidates, scan_secrets, with_features
 from textloom.llm.simhash import keep_first_of_components, simhash_components
+from textloom.llm.words import Words
 
 ODD = [
     (1, "a  b\tc"), (2, "a b c"), (3, None), (4, ""), (5, " "), (6, "A b c"), (7, "a b c"), (7, "a b c"), (8, "x" * 70_000), (9, "é ü \n 漢字"), (None, "a b c"), (10, "a b c"),
@@ -154,6 +156,20 @@ def test_decontamination_against_brute_force(spark, block):
     assert sorted(r.doc_id for r in drop_contaminated(frame, bench).collect()) == sorted(i for i, _, hit, _, _ in expected if not hit)
 
 
+def test_decontamination_of_repetitive_text_is_linear():
+    for unit in (["spam"], ["ab", "cd"], ["x", "y", "x", "z", "x"]):
+        n = 20_000
+        own = unit * (n + 3)
+        item, text = " ".join(own[:n]), " ".join(["other", *own[len(unit) : len(unit) + n]])
+        block = BenchmarkBlock([7], [item])
+        assert block.nbytes() < 60 * len(item)
+        began = time.perf_counter()
+        hits = block.hits(Words(pa.array([text, "a b"]), IS_WORD))
+        assert time.perf_counter() - began < 2
+        assert hits == {0: ([(1, n + 1)], {0})}
+    assert BenchmarkBlock([], []).hits(Words(pa.array(["a"]), IS_WORD)) == {}
+
+
 def test_decontamination_odd_input(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     got = decontaminate(odd(spark), bench).collect()

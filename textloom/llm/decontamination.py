@@ -3,103 +3,121 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices
+from textloom.llm.common import cut, slices
 from textloom.llm.words import Words, grams
 
 #: Words of a window; k-grams and the winnowing window that guarantee each shared span of SPAN words: SPAN = GRAM + WINNOW - 1.
 SPAN, GRAM, WINNOW = 10, 5, 6
-#: Bytes of benchmark text that one block holds in each worker; a larger benchmark takes more passes over the documents.
-BLOCK_BYTES = 48 << 20
+#: Bytes of benchmark text of one block (about six bytes are held for each, so 50 MB in a worker), and blocks that are
+#: applied in one pass over the documents, before the rows are written and read again for the next ones.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 8 << 20, 4
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 
 
 def winnowed(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-grams that are least in some window of WINNOW k-grams within one row (ties: all)."""
+    """Positions and hashes of the fingerprints: of each window of WINNOW k-grams of one row the first least k-gram.
+
+    Which k-gram of a window is taken depends on the window's words alone, so equal windows share their fingerprint.
+    """
     g = grams(hashes, GRAM)
     n = len(g) - WINNOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = g[:n].copy()
+    least, first = g[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, WINNOW):
-        np.minimum(least, g[j : j + n], out=least)
+        less = g[j : j + n] < least
+        least[less], first[less] = g[j : j + n][less], j
     inside = words.doc[:n] == words.doc[SPAN - 1 : SPAN - 1 + n]
     chosen = np.zeros(len(g), bool)
-    for j in range(WINNOW):
-        chosen[j : j + n] |= inside & (g[j : j + n] == least)
+    chosen[(np.arange(n) + first)[inside]] = True
     at = np.flatnonzero(chosen)
     return at, g[at]
 
 
 class BenchmarkBlock:
-    """Items with their words, the winnowed fingerprints of the long ones and the whole-item hashes of the short ones."""
+    """Items as arrays: fingerprints, and for each size of window the distinct windows' hashes, where one of each stands
+    and which items hold it. Everything is proportional to the items' words, however often they repeat."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         words = Words(pa.array(texts, pa.large_string()), IS_WORD)
         hashes = words.hashes()
         self.ids = ids
-        self.items = [[words.word(i) for i in range(a, b)] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, h in zip(*(x.tolist() for x in winnowed(words, hashes))):
-            item = int(words.doc[at])
-            self.places[h].append((item, at - int(words.first[item])))
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item, own in enumerate(self.items):
-            if 0 < len(own) < SPAN:
-                a = int(words.first[item])
-                self.short[len(own)][int(grams(hashes[a : a + len(own)], len(own))[0])].append(item)
-        self.places = dict(self.places)
-        self.short = {n: dict(x) for n, x in self.short.items()}
-        self.prints = np.array(sorted(self.places), np.uint64)
-        self.short_prints = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
+        self.data = words.data
+        self.starts, self.ends = words.starts.astype(np.int32), words.ends.astype(np.int32)
+        self.prints = np.unique(winnowed(words, hashes)[1])
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(int(n), SPAN) for n in words.counts if n}):
+            g = grams(hashes, size)
+            at = np.flatnonzero(words.doc[: len(g)] == words.doc[size - 1 :])
+            if size < SPAN:  # only items of just that size
+                at = at[words.counts[words.doc[at]] == size]
+            else:
+                at = at[words.counts[words.doc[at]] >= SPAN]
+            # One entry for each window and item: equal hashes side by side, within them items in order.
+            order = np.lexsort((words.doc[at], g[at]))
+            at = at[order]
+            h, item = g[at], words.doc[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+            at, h, item = at[new], h[new], item[new]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            self.windows[size] = (h[first], np.append(first, len(h)).astype(np.int32), at.astype(np.int32), item.astype(np.int32))
+
+    def nbytes(self) -> int:
+        """Bytes that the block holds."""
+        return sum(x.nbytes for x in (self.data, self.starts, self.ends, self.prints)) + sum(x.nbytes for own in self.windows.values() for x in own)
+
+    def _word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
 
     def hits(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """Row -> (half-open word spans that occurrences of windows cover, indices of their items)."""
+        """Row -> (half-open word spans that occurrences of windows cover, indices of their items).
+
+        A fingerprint that a row shares with the items is extended to every window of SPAN words around it, so a row's
+        work is proportional to its words; what a hash finds is compared word by word.
+        """
         found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
         hashes = words.hashes()
-
-        def add(row: int, a: int, b: int, item: int) -> None:
-            spans, items = found.setdefault(row, ([], set()))
-            spans.append((a, b))
-            items.add(item)
-
-        at, h = winnowed(words, hashes)
-        known = _member(h, self.prints)
-        done: dict[tuple[int, int, int], int] = {}  # by row, item and diagonal: where the last extension ended
-        for p, x in zip(at[known].tolist(), h[known].tolist()):
-            row = int(words.doc[p])
-            low, high = int(words.first[row]), int(words.first[row + 1])
-            for item, q in self.places[x]:
-                if p < done.get((row, item, p - q), -1):
+        for size, (known, first, places, items) in self.windows.items():
+            g = grams(hashes, size)
+            if size < SPAN:
+                at = np.flatnonzero(words.doc[: len(g)] == words.doc[size - 1 :]) if len(g) else np.zeros(0, np.int64)
+            else:
+                prints, h = winnowed(words, hashes)
+                prints = prints[_member(h, self.prints)]
+                at = np.unique((prints[:, None] - np.arange(WINNOW)).ravel())
+                at = at[(at >= 0) & (at < len(g))]
+                at = at[words.doc[at] == words.doc[at + size - 1]]
+            at = at[_member(g[at], known)]
+            group = np.searchsorted(known, g[at]).tolist()
+            parts: dict[int, list[bytes]] = {}
+            met: set[tuple[int, int]] = set()
+            for p, k in zip(at.tolist(), group):
+                if k not in parts:
+                    i = int(places[first[k]])
+                    parts[k] = [self._word(i + j) for j in range(size)]
+                if any(words.word(p + j) != w for j, w in enumerate(parts[k])):
                     continue
-                own = self.items[item]
-                if own[q] != words.word(p):
-                    continue
-                a, i = p, q
-                while a > low and i > 0 and words.word(a - 1) == own[i - 1]:
-                    a, i = a - 1, i - 1
-                b, j = p + 1, q + 1
-                while b < high and j < len(own) and words.word(b) == own[j]:
-                    b, j = b + 1, j + 1
-                done[row, item, p - q] = b
-                if b - a >= SPAN:
-                    add(row, a - low, b - low, item)
-        for n, prints in self.short_prints.items():
-            g = grams(hashes, n)
-            for p in np.flatnonzero(_member(g, prints) & (words.doc[: len(g)] == words.doc[n - 1 :])).tolist():
                 row = int(words.doc[p])
-                for item in self.short[n][int(g[p])]:
-                    if all(words.word(p + k) == w for k, w in enumerate(self.items[item])):
-                        add(row, p - int(words.first[row]), p + n - int(words.first[row]), item)
+                spans, own = found.setdefault(row, ([], set()))
+                a = p - int(words.first[row])
+                if spans and spans[-1][0] <= a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], a + size))
+                else:
+                    spans.append((a, a + size))
+                if (row, k) not in met:
+                    met.add((row, k))
+                    own.update(items[first[k] : first[k + 1]].tolist())
         return found
 
 
@@ -120,10 +138,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_FOUND = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 _RESULT = pa.schema(
     [("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))]
 )
+_SO_FAR = pa.schema([("id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+_SO_FAR_SQL = "id long, text string, spans array<long>, items array<long>"
 
 
 def _result(rows, n_words, spans, items) -> pa.RecordBatch:
@@ -136,7 +155,7 @@ def _result(rows, n_words, spans, items) -> pa.RecordBatch:
 
 
 def _finder(block, last: bool):
-    """Matches documents (row, text) with a broadcast block; last: no other block follows, so results are finished here."""
+    """Matches rows (id, text, and what earlier blocks have found in them) with a broadcast block; last: no other follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
@@ -144,22 +163,18 @@ def _finder(block, last: bool):
             for piece in slices(batch, 1):
                 words = Words(piece.column(1), IS_WORD)
                 hits = own.hits(words)
-                spans = [[e for x in hits[i][0] for e in x] if i in hits else [] for i in range(piece.num_rows)]
-                items = [[own.ids[k] for k in hits[i][1]] if i in hits else [] for i in range(piece.num_rows)]
+                spans, items = (piece.column(k).to_pylist() for k in (2, 3)) if piece.num_columns > 2 else ([[] for _ in range(piece.num_rows)] for _ in range(2))
+                for i, (new, met) in hits.items():
+                    spans[i] = spans[i] + [e for x in new for e in x]
+                    items[i] = items[i] + [own.ids[k] for k in met]
                 if last:
                     yield _result(piece.column(0), words.counts, spans, items)
                 else:
-                    columns = [piece.column(0), words.counts, spans, items]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+                    yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(spans, _SO_FAR[2].type), pa.array(items, _SO_FAR[3].type)], schema=_SO_FAR)
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _result(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list[int], list[str | None]]]:
     """The benchmark, partition by partition through the driver, in blocks of bounded size."""
     ids, texts, total = [], [], 0
@@ -181,37 +196,43 @@ def decontaminate(
 
     A-Z are lower-cased and words are runs of letters a-z, digits and non-ASCII characters. A window is SPAN consecutive
     words of an item, or the whole of an item with fewer words. The least k-gram hash of each winnowing window is a
-    fingerprint; documents' fingerprints are joined with the items' and each match is extended word by word in both
-    directions, so every shared span of SPAN words is found and hash collisions are thrown out. Shorter items are found
-    by a hash of the whole item. spans are the covered words (begin, end, begin, end ...), items the ids found.
-
-    The benchmark is the stated query set: each worker holds a block of at most block_bytes of its text (a longer item
-    is a block of its own); further blocks take further passes, whose results meet in a shuffle of short rows. Texts
-    that are null or empty have no words; items without words or id match nothing; an empty benchmark hits nothing.
-    Repeated rows each get their row, whatever else docs holds.
+    fingerprint; documents' fingerprints are joined with the items' and each match is extended to the windows around it,
+    which are compared word by word, so every shared span of SPAN words is found and hash collisions are thrown out.
+    Shorter items are found by a hash of the whole item. spans are the covered words (begin, end, begin, end ...), items
+    the ids found. Texts and items of one repeated word take time in proportion to their length.
+
+    The benchmark is the stated query set: each worker holds blocks of at most block_bytes of its text (a longer item is a
+    block of its own). BLOCKS_AT_ONCE of them are applied to a row one after the other, without a shuffle; after so many
+    the rows are written with what was found and read again, and the driver takes the next ones.
+
+    Texts that are null or empty have no words; items without words or id match nothing; an empty benchmark hits nothing;
+    an empty table gives no rows. Ids are longs; null ids are kept; repeated rows each get their row; other columns of
+    docs, whatever their names, are not read. Very long texts are read in whole, one at a time.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = [spark.sparkContext.broadcast(BenchmarkBlock(*b)) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "row long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<long>, items array<long>"
-    if len(blocks) == 1:
-        out = source.select(F.col("id").cast("long"), "text").mapInArrow(_finder(blocks[0], True), schema)
-    else:
-        keyed = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-        parts = [keyed.select("row", "text").mapInArrow(_finder(b, False), "row long, n_words long, spans array<long>, items array<long>") for b in blocks]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.union(p)
-        met = union.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        named = met.mapInArrow(_finish, schema).join(keyed.select("row", "id"), "row")
-        out = named.withColumn("row", F.col("id").cast("long")).drop("id")
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    held = list(islice(blocks, BLOCKS_AT_ONCE + 1))
+    while held:
+        now, held = held[:BLOCKS_AT_ONCE], held[BLOCKS_AT_ONCE:]
+        shared = [spark.sparkContext.broadcast(BenchmarkBlock(*b)) for b in now]
+        for k, b in enumerate(shared):
+            last = not held and k == len(shared) - 1
+            out = out.mapInArrow(_finder(b, last), schema if last else _SO_FAR_SQL)
+        if held:
+            out = cut(out)
+            for b in shared:
+                b.destroy()
+            held += list(islice(blocks, BLOCKS_AT_ONCE))
     return out.withColumnRenamed("row", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without a hit, all columns kept; the verdict is taken row by row, without a shuffle.
 
-    For a benchmark of several blocks each block filters what the one before it has left.
+    For a benchmark of several blocks each block filters what the one before it has left. Null and empty texts and rows
+    without an id stay; an empty benchmark drops nothing; repeated rows stay or go alike; an empty table stays empty.
     """
     spark = docs.sparkSession
     index = docs.columns.index(text_col)
@@ -225,6 +246,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         return run
 
-    for b in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
-        docs = docs.mapInArrow(filtering(spark.sparkContext.broadcast(BenchmarkBlock(*b))), docs.schema)
+    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    while now := list(islice(blocks, BLOCKS_AT_ONCE)):
+        for b in now:
+            docs = docs.mapInArrow(filtering(spark.sparkContext.broadcast(BenchmarkBlock(*b))), docs.schema)
+        if len(now) == BLOCKS_AT_ONCE:
+            docs = cut(docs)
     return docs
