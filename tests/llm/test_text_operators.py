@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import time
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -250,6 +252,70 @@ def test_pii_field_prefers_one_label_for_repeats(spark):
     assert pii.find_personal_data(odd(spark)).count() == len(ODD) and pii.find_personal_data(empty(spark)).count() == 0
 
 
+def slow_beliefs(field, g):
+    """Marginals by summing over all labellings."""
+    unary, total = field.unary(g), np.zeros((len(g.tokens), pii.LABELS))
+    for y in product(range(pii.LABELS), repeat=len(g.tokens)):
+        w = sum(unary[i, k] for i, k in enumerate(y)) + sum(field.chain[y[i], y[j]] for i, j in g.chain) + sum(field.skip[y[i], y[j]] for i, j in g.skip)
+        for i, k in enumerate(y):
+            total[i, k] += np.exp(w)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_pii_marginals_against_all_labellings(monkeypatch):
+    rng = np.random.default_rng(4)
+    field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)) * 0.3, rng.normal(size=pii.LABELS), rng.normal(size=(5, 5)) * 0.5, rng.normal(size=(5, 5)) * 0.5)
+    monkeypatch.setattr(pii, "ROUNDS", 80)
+    tree = pii.graph("5551234 a 66 77 b 5551234 c 42 5551234")
+    assert tree.chain and tree.skip
+    assert abs(field.marginals(tree) - slow_beliefs(field, tree)).max() < 1e-6
+    loop = pii.graph("5551234 66 a 5551234 66 77")
+    assert len(loop.chain) + len(loop.skip) >= len(loop.tokens)
+    assert abs(field.marginals(loop) - slow_beliefs(field, loop)).max() < 0.05
+
+
+def test_pii_gradient_is_seen_less_expected():
+    # On a tree the derivative of the log likelihood by a link potential is what is seen less what is expected.
+    field = pii.train(["call +1 (234) 555-1212 now"])
+    g = pii.graph("5551234 a 66 77 b 5551234")
+    y = [4, 0, 0, 4]
+
+    def likelihood():
+        unary, top, seen = field.unary(g), [], 0.0
+        for z in product(range(pii.LABELS), repeat=4):
+            w = sum(unary[i, k] for i, k in enumerate(z)) + sum(field.chain[z[i], z[j]] for i, j in g.chain) + sum(field.skip[z[i], z[j]] for i, j in g.skip)
+            top.append(w)
+            seen = w if list(z) == y else seen
+        return seen - np.log(np.exp(top).sum())
+
+    _, joint = field.beliefs(g)
+    expected = (1.0 - joint[-1][4, 4], field.skip)  # the only skip link joins tokens 0 and 3
+    field.skip[4, 4] += 1e-4
+    up = likelihood()
+    field.skip[4, 4] -= 2e-4
+    assert abs((up - likelihood()) / 2e-4 - expected[0]) < 1e-2
+
+
+def test_pii_field_adds_what_the_patterns_miss():
+    field = pii.train([])
+    rng = random.Random(77)
+    right = missed = wrong = 0
+    for _ in range(400):
+        text, spans = pii.made_text(rng)
+        base = pii.base_spans(text)
+        added = field.added(text, base)
+        covered = lambda a, b: any(x < b and a < y for _, x, y in base)
+        for k, a, b in spans:
+            if not covered(a, b):
+                found = any(x == k and c < b and a < d for x, c, d in added)
+                right, missed = right + found, missed + (not found)
+        wrong += sum(not any(c < b and a < d for _, a, b in spans) for _, c, d in added)
+    assert right >= 0.85 * (right + missed) and wrong <= 0.02 * right and right > 300
+    show = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in field.added(t, pii.base_spans(t))]
+    assert show("write to anna.lee[at]mail.example.com or call (234) 555-1212 or 234.555.1212") == [("email", "anna.lee[at]mail.example.com"), ("phone", "(234) 555-1212"), ("phone", "234.555.1212")]
+    assert show("version 3.11.2 of 2024-05-17 at 12:30:59, 1,234,567 rows, commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae, 50%") == []
+
+
 def test_quality_learns_and_handles_odd_input(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice("the cat sat on a mat near some trees".split()) for _ in range(40)) for _ in range(60)]
