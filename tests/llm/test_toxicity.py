@@ -24,7 +24,8 @@ def test_gradients():
     model = tx.train(made(4, 1, True), made(4, 2, False))
     words = tx.Words(pa.array(made(3, 3, True)), tx.IS_WORD)
     v = tx.Vocabulary(words)
-    windows, _ = tx._windows(words, len(v), v.inverse)
+    every = tx.Windows(np.split(v.inverse, words.first[1:-1]), len(v))
+    windows = every.at(np.arange(len(every)))
     for k in model.weights:
         model.weights[k] = model.weights[k].astype(np.float64)
     x = model.inputs(v)
@@ -46,15 +47,22 @@ def test_gradients():
         assert abs((up - down) / (2 * e) - grads[name][at]) < 2e-2 * max(1, abs(grads[name][at]))
 
 
-def test_windows_cover_every_word():
-    texts = ["", "a", " ".join(map(str, range(33))), " ".join(map(str, range(200)))]
-    words = tx.Words(pa.array(texts), tx.IS_WORD)
-    v = tx.Vocabulary(words)
-    windows, first = tx._windows(words, len(v), v.inverse)
-    assert first.tolist() == [0, 1, 2, 4]
-    for k, t in enumerate(texts):
-        own = windows[first[k] : first[k + 1] if k + 1 < len(first) else None]
-        assert set(own.ravel()) - {len(v)} == {v.inverse[i] for i in range(words.first[k], words.first[k + 1])}
+def test_scores_against_every_window_alone():
+    model = tx.train(made(20, 1, True), made(20, 2, False))
+    texts = ["", "a", None, " ".join(map(str, range(31))), " ".join(map(str, range(32))), " ".join(map(str, range(33))), *made(4, 5, True), "scumzor " * 50, "é ! ?"]
+    got = model.scores(pa.array(texts))
+    for t, score in zip(texts, got):
+        words = tx.Words(pa.array([t], pa.string()), tx.IS_WORD)
+        v = tx.Vocabulary(words)
+        x = model.inputs(v)
+        u = {side: model.projected(x, side) for side in "fb"}
+        n = len(v.inverse)
+        windows = [v.inverse[i : i + tx.WINDOW].tolist() for i in range(max(1, n - tx.WINDOW + 1))]
+        padded = np.array([w + [len(v)] * (tx.WINDOW - len(w)) for w in windows])
+        # The plain network, one window at a time.
+        best = max(float(model.logits(u, padded[i : i + 1])[0]) for i in range(len(padded)))
+        assert abs(score - 1 / (1 + np.exp(-best))) < 1e-5
+    assert len(model.scores(pa.array([], pa.string()))) == 0
 
 
 def test_held_out_accuracy_and_odd_input(spark):

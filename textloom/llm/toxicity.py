@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import fold_of, slices
 from textloom.llm.decontamination import IS_WORD
 from textloom.llm.words import _BYTE_VALUES, Words, mixed
 
-#: Words of a window and the step between overlapping windows.
-WINDOW, STEP = 32, 16
+#: Words of a window; every window of a text is scored.
+WINDOW = 32
 HIDDEN, EMBEDDING = 8, 4
 #: Buckets (as a power of two) of the word and of the character n-gram tables, and n.
 BUCKETS = 18
@@ -27,7 +27,8 @@ EPOCHS, STEPS, BATCH, RATE = 5, 200, 64, 0.01
 THRESHOLD = 0.3
 _START, _END = 0x5E, 0x24  # word marks; neither is a byte of a word
 _INPUTS = 2 * EMBEDDING + 3
-_CHUNK = 4096
+#: Windows that are taken through the network at once.
+_CHUNK = 2048
 #: Text that a worker scores at once: small, since two workers share an executor with its JVM.
 _SLICE = 1 << 20
 
@@ -71,16 +72,39 @@ class Vocabulary:
         return len(self.word)
 
 
-def _windows(words: Words, pad: int, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all overlapping windows, padded, and each row's first window; a row without words has one of pads."""
-    counts = words.counts
-    per_row = np.maximum(1, -(-(counts - WINDOW) // STEP) + 1)
-    first = np.concatenate(([0], np.cumsum(per_row)))
-    k = np.arange(first[-1]) - np.repeat(first[:-1], per_row)
-    at = (np.repeat(words.first[:-1], per_row) + k * STEP)[:, None] + np.arange(WINDOW)
-    ok = at < np.repeat(words.first[1:], per_row)[:, None]
-    numbers = np.append(inverse, pad)
-    return numbers[np.where(ok, at, len(inverse))], first[:-1]
+class Windows:
+    """All windows of some rows: numbers is one row of word numbers, each text followed by pads up to WINDOW words at
+    least; begins, slots: each text's place there; starts: how many windows of a text begin there, one at least."""
+
+    def __init__(self, texts: list[np.ndarray], pad: int):
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.slots = np.maximum(counts, WINDOW)
+        self.begins = np.cumsum(self.slots) - self.slots
+        self.starts = np.maximum(counts - WINDOW, 0) + 1
+        self.numbers = np.full(int(self.slots.sum()) + WINDOW - 1, pad, np.int32)
+        at = np.repeat(self.begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        if len(at):
+            self.numbers[at] = np.concatenate(texts)
+        self.pad = pad
+
+    def __len__(self) -> int:
+        return int(self.slots.sum())
+
+    def at(self, starts: np.ndarray) -> np.ndarray:
+        """The word numbers of the windows at some places."""
+        return self.numbers[starts[:, None] + np.arange(WINDOW)]
+
+    def best(self, strength: np.ndarray) -> np.ndarray:
+        """The place of each text's strongest window."""
+        place = np.arange(len(self)) - np.repeat(self.begins, self.slots)
+        strength = np.where(place < np.repeat(self.starts, self.slots), strength, -np.inf)
+        return np.array([a + int(np.argmax(strength[a : a + n])) for a, n in zip(self.begins.tolist(), self.starts.tolist())], np.int64)
+
+    def strongest(self, strength: np.ndarray) -> np.ndarray:
+        """The strength of each text's strongest window."""
+        place = np.arange(len(self)) - np.repeat(self.begins, self.slots)
+        strength = np.where(place < np.repeat(self.starts, self.slots), strength, -np.inf)
+        return np.maximum.reduceat(strength, self.begins) if len(self.begins) else strength
 
 
 def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -175,15 +199,60 @@ class Model:
             d_u[side][-1] = 0
         return grads, d_u
 
+    def all_logits(self, u: dict[str, np.ndarray], windows: Windows) -> np.ndarray:
+        """The logit of the window at every place, as logits gives it. Neighbouring windows are neighbouring columns, so a
+        step of the network reads a stretch of the text's inputs as they stand; attention is summed up on the way."""
+        n_all, w = len(windows), self.weights
+        real = (windows.numbers != windows.pad).astype(np.float32)
+        half = np.ones((3 * HIDDEN, 1), np.float32)
+        half[: 2 * HIDDEN] = 0.5  # a sigmoid is half a hyperbolic tangent of half
+        inputs = {s: np.ascontiguousarray((u[s].T * half)[:, windows.numbers], np.float32) for s in "fb"}
+        recurrent = {s: np.ascontiguousarray(w["R" + s].T * half, np.float32) for s in "fb"}
+        heads = {s: np.stack([w["v"][k * HIDDEN : (k + 1) * HIDDEN], w["w"][k * HIDDEN : (k + 1) * HIDDEN]]).astype(np.float32) for k, s in enumerate("fb")}
+        out = np.empty(n_all, np.float32)
+        for i in range(0, n_all, _CHUNK):
+            n = min(_CHUNK, n_all - i)
+            seen = np.empty((WINDOW, 2, n), np.float32)
+            value, weight, state = np.zeros(n, np.float32), np.zeros(n, np.float32), np.empty((3 * HIDDEN, n), np.float32)
+            for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+                h = np.zeros((HIDDEN, n), np.float32)
+                for t in order:
+                    g = inputs[side][:, i + t : i + t + n]
+                    np.matmul(recurrent[side], h, out=state)
+                    gates, c = state[: 2 * HIDDEN], state[2 * HIDDEN :]
+                    gates += g[: 2 * HIDDEN]
+                    np.tanh(gates, out=gates)
+                    gates += 1
+                    gates *= 0.5
+                    c *= gates[:HIDDEN]
+                    c += g[2 * HIDDEN :]
+                    np.tanh(c, out=c)
+                    h -= c
+                    h *= gates[HIDDEN:]
+                    h += c
+                    if side == "f":
+                        np.matmul(heads[side], h, out=seen[t])
+                        continue
+                    both = heads[side] @ h
+                    both += seen[t]
+                    e = np.exp(both[0])
+                    e *= real[i + t : i + t + n]
+                    weight += e
+                    e *= both[1]
+                    value += e
+            out[i : i + n] = value / np.maximum(weight, 1e-30)
+        return out + w["c"][0]
+
     def scores(self, column: pa.Array) -> np.ndarray:
         """A score for each row: of all its windows, the one most likely toxic decides."""
         words = Words(column, IS_WORD)
+        if not len(words.counts):
+            return np.zeros(0)
         v = Vocabulary(words)
         x = self.inputs(v)
-        u = {side: self.projected(x, side) for side in "fb"}
-        windows, first = _windows(words, len(v), v.inverse)
-        logits = np.concatenate([self.logits(u, windows[i : i + _CHUNK]) for i in range(0, len(windows), _CHUNK)]) if len(windows) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.maximum.reduceat(logits.astype(np.float64), first))) if len(first) else np.zeros(0)
+        windows = Windows(np.split(v.inverse, words.first[1:-1]), len(v))
+        logits = self.all_logits({side: self.projected(x, side) for side in "fb"}, windows)
+        return 1 / (1 + np.exp(-windows.strongest(logits.astype(np.float64))))
 
 
 def train(toxic: list[str], clean: list[str], seed: int = 1) -> Model:
@@ -213,10 +282,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Model:
     for side in "fb":
         weights["W" + side], weights["R" + side], weights["b" + side] = small(_INPUTS, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32)
     model = Model(tables["word"][2], tables["gram"][2], small(1 << 14, EMBEDDING) * 0.1, small(1 << 14, EMBEDDING) * 0.1, weights)
-    items = []  # (class, windows of one text)
-    for k, (words, v) in enumerate(sides):
-        windows, first = _windows(words, len(v), v.inverse)
-        items += [(k, w) for w in np.split(windows, first[1:])] if len(first) else []
+    items = [(k, own) for k, (words, v) in enumerate(sides) if len(words.counts) for own in np.split(v.inverse, words.first[1:-1])]  # (class, words of one text)
     if not items:
         return model
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in weights.items()}
@@ -234,22 +300,21 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Model:
                     continue
                 # only the words that occur in this step
                 used, numbers = np.unique(np.concatenate(own), return_inverse=True)
-                numbers = numbers.reshape(-1, WINDOW)
-                if used[-1] != len(v):
-                    used = np.append(used, len(v))
-                sub = _Part(v, used[:-1])
+                sub = _Part(v, used)
+                windows = Windows(np.split(numbers, np.cumsum([len(x) for x in own])[:-1]), len(used))
                 x = model.inputs(sub, tables["word"][k], tables["gram"][k])
                 u = {side: model.projected(x, side) for side in "fb"}
-                first = np.concatenate(([0], np.cumsum([len(w) for w in own])[:-1]))
                 if epoch == 0 and k == 0:
-                    strength = np.append(np.maximum(x[:, 0], 0) + np.maximum(x[:, 1], 0), 0)[numbers].sum(axis=1)
+                    evidence = np.append(np.maximum(x[:, 0], 0) + np.maximum(x[:, 1], 0), 0).astype(np.float64)[windows.numbers]
+                    total_evidence = np.append(0, np.cumsum(evidence))
+                    strength = total_evidence[WINDOW:] - total_evidence[:-WINDOW]
                 else:
-                    strength = np.concatenate([model.logits(u, numbers[i : i + _CHUNK]) for i in range(0, len(numbers), _CHUNK)])
-                chosen = np.array([a + int(np.argmax(s)) for a, s in zip(first, np.split(strength, first[1:]))])
+                    strength = model.all_logits(u, windows)
+                chosen = windows.at(windows.best(strength))
                 trace: dict = {}
-                logit = model.logits(u, numbers[chosen], trace)
+                logit = model.logits(u, chosen, trace)
                 error = (1 / (1 + np.exp(-logit)) - (1 - k)) * balance[k] / len(part)
-                grads, d_u = model.backward(u, numbers[chosen], trace, error.astype(np.float32))
+                grads, d_u = model.backward(u, chosen, trace, error.astype(np.float32))
                 d_x = np.zeros_like(x)
                 for side in "fb":
                     grads["W" + side] += x.T @ d_u[side][:-1]
@@ -292,14 +357,16 @@ def _nudge(table: np.ndarray, scale: np.ndarray, buckets: np.ndarray, gradient:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """Texts labelled 1 and 0, at most so many rows of each and so long, from folds other than the held-out one. The ids
-    are chosen from the labels alone, so no join moves the documents."""
-    allowed = labels.select(F.col("doc_id").alias("__label_id"), F.col(label).alias("__label")).filter(fold_of(F.col("__label_id"), modulus) != held_out)
+    are chosen from the labels alone, so no join moves the documents; of ids that repeat, rows are taken up to the bound."""
+    allowed = labels.select(F.col("doc_id").alias("i"), F.col(label).alias("y")).filter(fold_of(F.col("i"), modulus) != held_out)
     picked = None
     for k in (1, 0):
-        own = allowed.filter(F.col("__label") == k).groupBy("__label_id", "__label").agg(F.lit(1)).select("__label_id", "__label").orderBy(F.xxhash64("__label_id"), "__label_id").limit(rows)
+        own = allowed.filter(F.col("y") == k).groupBy("i", "y").agg(F.lit(1)).select("i", "y").orderBy(F.xxhash64("i"), "i").limit(rows)
         picked = own if picked is None else picked.union(own)
-    found = docs.filter(F.length(text_col) <= chars).join(F.broadcast(picked), F.col(id_col) == F.col("__label_id")).select("__label", F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    got = sorted((r["__id"], r["__label"], r["__text"]) for r in found.collect())  # at most 2 * rows
+    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.length("t") <= chars)
+    found = short.join(F.broadcast(picked), F.col("id") == F.col("i")).select("y", "i", "t")
+    first = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", F.xxhash64("t")))
+    got = sorted((r["i"], r["y"], r["t"]) for r in found.withColumn("n", first).filter(F.col("n") <= rows).collect())
     return [t for _, k, t in got if k == 1], [t for _, k, t in got if k == 0]
 
 
@@ -316,9 +383,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: id_col, held_out, score, predicted.
 
     Trains on a bounded sample of labelled rows (labels: doc_id, toxic) outside the held-out fold, which is crc32 of the
-    id as text modulo modulus, and scores every window of WINDOW words at each STEP of every whole text. Null and empty
-    texts and texts without a word get the score of an empty window. Without labels of both classes the scores are those
-    of an untrained network. Rows that repeat are scored alike; null ids are kept; other columns are not read.
+    id as text modulo modulus, and scores every window of WINDOW words of every whole text; the strongest decides. Null
+    and empty texts and texts without a word get the score of an empty window. Without labels of both classes the scores
+    are those of an untrained network. Ids are longs; rows that repeat are scored alike; null ids are kept; an empty table
+    gives no rows; other columns, whatever their names, are not read. A very long text takes time and memory in
+    proportion, one text at a time.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "toxic", modulus, held_out, id_col, text_col)))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
