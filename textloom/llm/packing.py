@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +13,6 @@ MAX_TOKENS = 2048
 BUCKETS = 8
 #: Padded tokens of a batch.
 BATCH_TOKENS = 1 << 16
-#: Sequences that are numbered in one task, on average.
-SHARD_ROWS = 4096
 
 
 def count_tokens(text: Column) -> Column:
@@ -65,37 +61,38 @@ def pack(
 
     A document of n tokens gives ceil(n / max_tokens) sequences (without tokens, none); tokens may name another count
     than that of the default unit. The global histogram of sequence lengths, at most max_tokens rows, decides the bucket
-    boundaries by dynamic programming. Within a bucket, sequences stand in the order of a hash of the id, id and number,
-    and each batch takes the next floor(batch_tokens / bucket_tokens) of them, at least one; slot is the place in the
-    batch. Only the last batch of a bucket may have room.
+    boundaries by dynamic programming. Within a bucket, sequences stand in the order of a hash of id, number and text, and
+    each batch takes the next floor(batch_tokens / bucket_tokens) of them, at least one; slot is the place in the batch.
+    Only the last batch of a bucket may have room.
 
-    Positions are taken from counts per (bucket, shard), so no task numbers a whole bucket. Rows that repeat an id are
-    sequences of their own; null ids come first; null and empty texts give none; other columns are not read.
+    Places come from the sizes of ordered ranges of (bucket, hash), so no task numbers a whole bucket; rows that are equal
+    in everything may fall into different ranges. Rows that repeat an id are sequences of their own; ids are longs and
+    null ones come first; null and empty texts give none and an empty table no rows; other columns, whatever their names,
+    are not read. A very long document is many sequences.
     """
     n = count_tokens(F.col(text_col)) if tokens is None else tokens.cast("long")
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), n.alias("n")).filter("n > 0")
-    each = narrow.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / max_tokens))).alias("sequence_no"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), n.alias("n"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("h")).filter("n > 0")
+    each = narrow.select("id", "n", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / max_tokens))).alias("sequence_no"))
     start = F.col("sequence_no") * max_tokens
-    each = cut(each.select("id", "sequence_no", start.alias("token_start"), F.least("n", start + max_tokens).alias("token_end")))
-    each = each.withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
+    mark = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("sequence_no").cast("string"), F.lit(":"), F.col("h")).cast("binary"))
+    each = each.select(
+        "id", "sequence_no", start.alias("token_start"), F.least("n", start + max_tokens).alias("token_end"),
+        F.conv(F.left(mark, F.lit(15)), 16, 10).cast("long").alias("place"), F.monotonically_increasing_id().alias("row"),
+    )
+    each = cut(each).withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
     histogram = {r.n_tokens: r["count"] for r in each.groupBy("n_tokens").count().collect()}  # at most max_tokens rows
-    ends = optimal_boundaries(histogram, buckets)
-    sizes = {e: sum(c for x, c in histogram.items() if low < x <= e) for low, e in zip([0, *ends], ends)}
-    bucket, shards, room = (F.lit(None).cast("long") for _ in range(3))
-    for e in reversed(ends):
+    bucket, room = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for e in reversed(optimal_boundaries(histogram, buckets)):
         here = F.col("n_tokens") <= e
-        bucket = F.when(here, F.lit(e)).otherwise(bucket)
-        shards = F.when(here, F.lit(math.ceil(sizes[e] / SHARD_ROWS))).otherwise(shards)
-        room = F.when(here, F.lit(max(1, batch_tokens // e))).otherwise(room)
-    # A multiplicative hash of the id's low bits: plain arithmetic, so that SQL can state the order too.
-    low = F.coalesce(F.pmod(F.col("id"), F.lit(1 << 31)), F.lit(0))
-    mixed = F.pmod(low * F.lit(1103515245) + F.lit(12345), F.lit(1 << 31))
-    placed = each.select("*", bucket.cast("long").alias("bucket_tokens"), room.cast("long").alias("room"), F.floor(mixed * shards / F.lit(1 << 31)).cast("long").alias("shard"))
-    counts = placed.groupBy("bucket_tokens", "shard").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("bucket_tokens").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket_tokens", "shard", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("bucket_tokens", "shard").orderBy("id", "sequence_no", "token_end")
-    ranked = placed.withColumn("rank", F.row_number().over(own)).join(offsets, ["bucket_tokens", "shard"])
+        bucket, room = F.when(here, F.lit(e)).otherwise(bucket), F.when(here, F.lit(max(1, batch_tokens // e))).otherwise(room)
+    order = ["place", "id", "sequence_no", "token_end", "row"]
+    placed = each.select("*", bucket.cast("long").alias("bucket_tokens"), room.cast("long").alias("room"))
+    placed = cut(placed.repartitionByRange("bucket_tokens", *order).withColumn("part", F.spark_partition_id()))
+    counts = placed.groupBy("bucket_tokens", "part").agg(F.count(F.lit(1)).alias("c"))  # a row per partition and bucket at most
+    before = Window.partitionBy("bucket_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bucket_tokens", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    own = Window.partitionBy("bucket_tokens", "part").orderBy(*order)
+    ranked = placed.withColumn("rank", F.row_number().over(own)).join(F.broadcast(offsets), ["bucket_tokens", "part"])
     position = F.col("offset") + F.col("rank") - 1
     return ranked.select(
         F.col("id").alias(id_col), "sequence_no", "token_start", "token_end", "n_tokens", "bucket_tokens",

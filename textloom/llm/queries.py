@@ -72,6 +72,35 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
+""",
+    "op4_packing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
+), e AS (SELECT doc_id, h, n, unnest(range(0, (n - 1) // 2048 + 1)) AS s FROM d WHERE n > 0),
+q AS (
+  SELECT doc_id, s AS sequence_no, s * 2048 AS token_start, least(n, (s + 1) * 2048) AS token_end, least(n, (s + 1) * 2048) - s * 2048 AS n_tokens,
+         ('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s || ':' || h), 15))::BIGINT AS place
+  FROM e
+), l AS (
+  SELECT n_tokens AS size, row_number() OVER (ORDER BY n_tokens) AS j, CAST(sum(c) OVER (ORDER BY n_tokens) AS BIGINT) AS n
+  FROM (SELECT n_tokens, count(*) AS c FROM q GROUP BY n_tokens)
+), dp AS (
+  SELECT 1 AS b, j, size, n, n * size AS cost, 0::BIGINT AS cut FROM l
+  UNION ALL
+  SELECT b + 1, j, size, n, CASE WHEN least_cost < cost THEN least_cost ELSE cost END, CASE WHEN least_cost < cost THEN i ELSE 0 END
+  FROM (
+    SELECT x.b, x.j, x.size, x.n, x.cost, min(p.cost + (x.n - p.n) * x.size) AS least_cost,
+           arg_min(p.j, struct_pack(c := p.cost + (x.n - p.n) * x.size, j := p.j)) AS i
+    FROM dp x LEFT JOIN dp p ON p.j < x.j WHERE x.b < 8 GROUP BY ALL
+  )
+), back AS (
+  SELECT 8 AS b, (SELECT max(j) FROM l) AS j, NULL::BIGINT AS e
+  UNION ALL
+  SELECT back.b - 1, CASE WHEN dp.cut > 0 THEN dp.cut ELSE back.j END, CASE WHEN dp.cut > 0 THEN back.j END FROM back JOIN dp ON dp.b = back.b AND dp.j = back.j
+), ends AS (SELECT size AS e FROM l WHERE j IN (SELECT e FROM back WHERE e IS NOT NULL UNION SELECT j FROM back WHERE b = 0)),
+placed AS (SELECT q.*, (SELECT min(e) FROM ends WHERE e >= n_tokens) AS bucket_tokens FROM q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket_tokens ORDER BY place, doc_id, sequence_no, token_end) - 1 AS k, greatest(1, 65536 // bucket_tokens) AS room FROM placed)
+SELECT doc_id, sequence_no, token_start, token_end, n_tokens, bucket_tokens, k // room AS batch_no, k % room AS slot FROM ranked
 """,
     "op6_decontamination": r"""
 WITH dw AS (
