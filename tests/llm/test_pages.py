@@ -99,9 +99,10 @@ def test_extract_main_text(spark):
     assert extract_main_text(frame(spark).limit(0)).count() == 0
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("groups", [warc.BROADCAST_GROUPS, 0])
+def test_archives(spark, tmp_path, groups):
     folder = f"file://{tmp_path}"
-    got = warc.read_archives(warc.write_archives(frame(spark), folder), folder).collect()
+    got = warc.read_archives(warc.write_archives(frame(spark), folder, broadcast_groups=groups), folder).collect()
     assert len(got) == len(PAGES)
     bodies = {i: (h or "").encode() for i, _, h in PAGES}
     for r in got:

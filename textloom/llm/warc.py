@@ -26,7 +26,12 @@ ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 #: Payloads shorter than this are stored in full even if they repeat.
 MIN_REVISIT = 0
+#: Up to so many distinct repeated payloads, some 200 bytes each, their originals are broadcast to the pages.
+BROADCAST_GROUPS = 100_000
+#: Beyond that, parts into which the rows of one payload are dealt.
+SALTS = 32
 _DATE = "1970-01-01T00:00:00Z"
+_HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def digest(payload: bytes) -> str:
@@ -34,15 +39,16 @@ def digest(payload: bytes) -> str:
 
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, refers_url: str | None) -> bytes:
-    """One WARC/1.1 record. A revisit has an empty block and names its original by record id."""
+    """One WARC/1.1 record. A response's block is an HTTP message whose body is the payload; a revisit has the message's
+    head alone and names its original by record id."""
     name = lambda x: f"<urn:page:{x}>"
     clean = lambda x: "".join(c for c in (x or "") if c not in "\r\n")
-    block = payload if kind == "response" else b""
+    block = _HTTP_HEAD + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {clean(url)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{sha1}"]
     if kind == "revisit":
         head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Target-URI: {clean(refers_url)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         head += [f"WARC-Original-Length: {len(payload)}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
@@ -110,7 +116,7 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def _writer(folder: str, archive_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Writes (page_id, url, html, digest, first id, first url) as archives under folder; yields their names and counts.
+    """Writes (page_id, url, html, digest, again, first id, first url) as archives under folder; yields their names and counts.
 
     Each attempt writes files of new names and only the names that a successful attempt returns are read, so a task that
     is lost and run again leaves at worst a file that nobody reads.
@@ -141,8 +147,8 @@ def _writer(folder: str, archive_bytes: int) -> Callable[[Iterator[pa.RecordBatc
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, html, sha1, first, first_url = (batch.column(k)[i].as_py() for k in range(6))
-                raw = record("response" if first is None else "revisit", page_id, url, (html or "").encode("utf-8", "replace"), sha1, first, first_url)
+                page_id, url, html, sha1, again, first, first_url = (batch.column(k)[i].as_py() for k in range(7))
+                raw = record("revisit" if again else "response", page_id, url, (html or "").encode("utf-8", "replace"), sha1, first, first_url)
                 if state["writer"]:
                     state["writer"].write(raw)
                     state["n"] += 1
@@ -171,6 +177,7 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 with store.open_input_stream(f"{base}/{name}", compression=None) as source:
                     for raw in read_records(source):
                         head, block = parse(raw)
+                        block = block.partition(b"\r\n\r\n")[2]
                         revisit = head["WARC-Type"] == "revisit"
                         refers = number(head["WARC-Refers-To"][len("<urn:page:") : -1]) if revisit else None
                         sha1 = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -188,15 +195,19 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Writes one record per row of pages; returns (archive, records), the manifest of the archives under folder.
 
     Payloads are the html in UTF-8 (null: empty). Of rows with equal payloads of at least min_revisit bytes the one with
     the smallest id (null ids last; of rows that repeat an id, one) is a response and the others are revisits of it.
-    The first of each digest is found by an aggregate of digests that is combined before its shuffle, and only the rows
-    of repeated payloads are joined with it; each task writes its own archives, with a dictionary built from their first
-    records.
-    Nothing is written for an empty table.
+    The original of each repeated digest comes from an aggregate that is combined before its shuffle. Where no more than
+    BROADCAST_GROUPS digests repeat, which is counted, the originals go to the pages and payloads are not shuffled;
+    beyond that the rows of repeated payloads are joined with them, salted by row, and payloads are shuffled once by row.
+    Each task writes its own archives, with a dictionary built from their first records.
+
+    Rows are told apart by their numbers, so an input whose rows come in another order when read again must be written
+    first. Nothing is written for an empty table; ids are longs; null addresses count as empty; other columns, whatever
+    their names, are not read; a payload of any length is one record.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
@@ -205,12 +216,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     keyed = keyed.withColumn("row", F.monotonically_increasing_id())
     rank = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("id"), F.col("row").alias("row"), F.col("url").alias("url"))
     groups = keyed.filter(F.col("size") >= min_revisit).groupBy("sha1", "size").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = groups.filter("n > 1").select("sha1", "size", "first")
-    # Only the rows of repeated payloads need their group's first: few columns, no payload.
-    copies = keyed.select("row", "sha1", "size").join(repeated, ["sha1", "size"]).filter(F.col("row") != F.col("first.row"))
-    copies = copies.select("row", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("again"))
-    named = keyed.join(copies, "row", "left")
-    shown = named.select("page_id", "url", "html", F.upper(_base32(F.col("sha1"))).alias("sha1"), F.when(F.col("again"), F.coalesce(F.col("first_id"), F.lit(None))).alias("first"), "first_url")
+    repeated = cut(groups.filter("n > 1").select(F.col("sha1").alias("again_sha1"), F.col("size").alias("again_size"), "first"))
+    if repeated.count() <= broadcast_groups:
+        named = keyed.join(F.broadcast(repeated), (F.col("sha1") == F.col("again_sha1")) & (F.col("size") == F.col("again_size")), "left")
+    else:
+        # Few columns, no payload; a payload that very many pages share is dealt out by a salt.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = keyed.select("row", "sha1", "size", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).join(
+            repeated.select(F.col("again_sha1").alias("sha1"), F.col("again_size").alias("size"), "first", salts.alias("salt")), ["sha1", "size", "salt"]
+        )
+        named = keyed.join(met.select("row", "first"), "row", "left")
+    again = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
+    shown = named.select(
+        "page_id", "url", "html", F.upper(_base32(F.col("sha1"))).alias("sha1"), again.alias("again"), F.when(again, F.col("first.id")).alias("first_id"), F.when(again, F.col("first.url")).alias("first_url")
+    )
     return cut(shown.mapInArrow(_writer(folder, archive_bytes), "archive string, records long"))
 
 
