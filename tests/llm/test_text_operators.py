@@ -409,3 +409,27 @@ def test_secret_patterns_stay_linear(spark):
     started = time.time()
     candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), path_col=None).count()
     assert time.time() - started < 60
+
+
+def test_pack_splits_rows_that_are_all_equal(spark):
+    rows = [(None, "a b c")] * 900 + [(7, "a b c")] * 900 + [(8, "w " * 90_000)] + [(i, "a b") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack(docs, max_tokens=64, buckets=2, batch_tokens=256).collect()
+    assert len(got) == 900 + 900 + -(-90_000 // 64) + 300
+    places = [(r.bucket_tokens, r.batch_no, r.slot) for r in got]
+    assert len(set(places)) == len(places)
+    for size in {r.bucket_tokens for r in got}:
+        own = sorted((b, s) for x, b, s in places if x == size)
+        room = 256 // size
+        assert own == [(k // room, k % room) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("keep, copies", [(keep_first_copies, {(1, "a b"), (2, "c"), (4, ""), (9, "d e f")}), (keep_first_of_components, {(1, "a b"), (2, "c"), (4, ""), (9, "d e f")})])
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, keep, copies):
+    # A row repeated in whole, an id with two texts of which one is a copy, blank texts, and columns named like inner ones.
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (2, "c"), (2, "a b"), (3, "a b"), (4, ""), (4, None), (9, "d e f"), (10, "d e f")] + [(11, "a b")] * 300
+    docs = spark.createDataFrame([(i, t, 1, 2, "m") for i, t in rows], "doc_id long, text string, id int, kept_n int, mark string")
+    got = keep(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted(copies)
+    assert keep(docs.limit(0)).count() == 0

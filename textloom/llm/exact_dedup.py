@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import partitions
+from textloom.llm.common import keep_rows, partitions
 
 #: Characters of the normalised text that head the sort key. Splitters are sampled to the driver, so their size must be
 #: bounded; a hash breaks ties among long common heads, and the whole text is the last key.
@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the same shuffle again.
 
     The smallest id stays (null ids come last). Of rows repeated with the same id and text one is kept. Other columns of
-    docs are not read. No rows give no rows.
+    docs, whatever their names, are not read. No rows give no rows. Very long texts are compared in whole; a row must fit
+    the memory of a task.
     """
     parts = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -75,6 +76,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id exact_dedup keeps, with all their columns. Rows that share an id stay or go together."""
-    verdict = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(verdict, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of each group of equal texts, that with the smallest id, with all its columns; of rows that repeat an id and
+    a text, one. Null counts as the empty text; null ids come last; an empty table stays empty; extra columns, whatever
+    their names, are kept."""
+    verdict = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"))
+    return keep_rows(docs, verdict, id_col, _sha256(normalised(F.col(text_col))))

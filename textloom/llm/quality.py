@@ -98,7 +98,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Learns from a bounded sample of labelled rows (labels: doc_id, quality) outside the held-out fold, which is crc32 of
     the id as text modulo modulus. Whole texts are compressed, piece by piece. Null and empty texts have difference zero
-    and its calibrated score. Rows that repeat are scored alike; null ids are kept; other columns are not read.
+    and its calibrated score. Ids are longs; rows that repeat are scored alike; null ids are kept; an empty table gives no
+    rows; other columns, whatever their names, are not read. A very long text takes time in proportion.
     """
     good, bad = labelled_sample(docs, labels, "quality", modulus, held_out, id_col, text_col, SAMPLE_ROWS, SAMPLE_CHARS)
     model = docs.sparkSession.sparkContext.broadcast(train(good, bad))

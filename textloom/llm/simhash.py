@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, keep_rows, partitions
 from textloom.llm.components import connected_components
 
 WORDS, SEED, DISTANCE = 3, 42, 2
@@ -45,12 +45,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64(), size=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints], names=["id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    """(id, mark, fp) for every row; mark is a hash of the text, fp the fingerprint's 64 bits as a signed long."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"))
+    return source.mapInArrow(_fingerprints, "id long, mark long, fp long")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +106,23 @@ def near_links(prints: DataFrame) -> DataFrame:
     return verified.union(stars)
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, fp, component_id) for every row."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = connected_components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id", "n")
+    # A fingerprint that very many rows share, such as that of blank texts, is broadcast: there are at most 4 * partitions
+    # of them. The other rows are joined by a shuffle.
+    many = prints.count() // (4 * partitions(docs.sparkSession)) + 1
+    hot = named.filter(F.col("n") > many).select(F.col("fp").alias("hot_fp"), "component_id")
+    placed = cut(prints.join(F.broadcast(hot), F.col("fp") == F.col("hot_fp"), "left").select("id", "mark", "fp", F.col("hot_fp").isNotNull().alias("hot"), F.col("component_id").alias("known")))
+    rest = placed.filter("NOT hot").select("id", "mark", "fp").join(named.select("fp", "component_id"), "fp")
+    return rest.select("id", "mark", "fp", "component_id").union(placed.filter("hot").select("id", "mark", "fp", "known"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 lowercase hex digits), component_id.
 
@@ -113,21 +131,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and null ones have fingerprint zero and are linked like any other. Fingerprints at two or fewer differing bits are
     linked, and component_id is the least id reachable (null ids are left out of the minimum). Equal fingerprints are
     first merged with partial aggregation, so the size of a group of copies does not matter. Rows that repeat are all
-    returned; other columns of docs are not read; no rows give no rows.
+    returned; other columns of docs, whatever their names, are not read; no rows give no rows. Ids are longs. A very long
+    text is hashed a block of shingles at a time.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _components(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first_of_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all their columns. Rows without an id stay where
-    some row without one is in a component that has no ids at all; else they count as copies."""
-    kept = simhash_components(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return docs.join(kept.select(F.col(id_col).alias("__kept_id")).distinct(), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of docs whose id is the least of their component, with all their columns; of rows that repeat an id and a
+    text, one. Rows without an id stay where some row without one is in a component that has no ids at all; else they
+    count as copies. Null texts are blank ones; an empty table stays empty; extra columns, whatever their names, are kept."""
+    verdict = _components(docs, id_col, text_col).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return keep_rows(docs, verdict, id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))))
