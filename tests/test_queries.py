@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from textloom.queries import ORACLES, QUERIES
+from textloom.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -8,7 +8,7 @@ from collections import Counter
 from textloom import queries as Q
 from textloom.operators import audit, snapshots
 from textloom.plans import lists as L
-from textloom.queries import QUERIES
+from textloom.catalogue import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def terms(text):
     return [t for t in found if t and t not in L.RETRIEVAL_STOPWORDS]
 
 
-def test_retrieve_topk_whole(spark):
+def test_retrieve_topk(spark):
     chunks = {r.chunk_id: Counter(terms(r.chunk)) for r in Q._chunks(spark, DATA).collect()}
     df = Counter(t for c in chunks.values() for t in c)
     idf = {t: math.log((len(chunks) + 1) / (n + 0.5)) + 1 for t, n in df.items()}
@@ -34,15 +34,16 @@ def test_retrieve_topk_whole(spark):
                 scores.append((-round((0.5 + len(met) / len(asked)) * s, 6), i, len(met), len(asked)))
         for rank, (score, i, matched, n) in enumerate(sorted(scores)[:5], 1):
             expected[item.item_id, rank] = (i, matched, n, -score)
-    got = {(r.query_id, r.rank): (r.chunk_id, r.matched, r.query_terms, r.score) for r in QUERIES["retrieve_topk_whole"](spark, DATA).collect()}
+    got = {(r.query_id, r.rank): (r.chunk_id, r.matched, r.query_terms, r.score) for r in QUERIES["retrieve_topk"](spark, DATA).collect()}
     assert longer and got.keys() == expected.keys()
     assert all(got[k][:3] == expected[k][:3] and abs(got[k][3] - expected[k][3]) < 2e-6 for k in got)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     best = {}
     for (q, _), (i, _, _, score) in got.items():
-        at = (q, f"src{int(i.split('-')[0]) % 3}")
+        at = (q, source[int(i.split("-")[0])])
         best[at] = max(best.get(at, 0.0), score)
-    matrix = QUERIES["query_source_matrix_whole"](spark, DATA).collect()
-    assert {(r.query_id, s): r[s] for r in matrix for s in ("src0", "src1", "src2") if r[s] is not None} == best
+    matrix = QUERIES["query_source_matrix"](spark, DATA).collect()
+    assert {(r.query_id, s): r[s] for r in matrix for s in matrix[0].asDict() if s != "query_id" and r[s] is not None} == best
 
 
 def test_hidden_pattern_families(spark):
@@ -76,11 +77,11 @@ def brute_search(queries, rows, fuzzy):
     return out
 
 
-def test_ranked_search_whole(spark):
+def test_ranked_search(spark):
     items = [(r.item_id, " ".join(r.text.split())) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r.item_id % 100 == 0]
     docs = [(r.doc_id, " ".join(x for x in (r.text, r.source) if x is not None)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert any(len(t.split()) > 6 for _, t in items)
-    assert set(map(tuple, QUERIES["ranked_search_whole"](spark, DATA).collect())) == brute_search(items, docs, False)
+    assert set(map(tuple, QUERIES["ranked_search"](spark, DATA).collect())) == brute_search(items, docs, False)
 
 
 def test_ranked_search_fuzzy_takes_whole_titles_of_every_hundredth_page(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -50,6 +50,17 @@ def prepared(docs: DataFrame, mode: str = "curated_lm", min_chars: int = MIN_CHA
     return first_wins(cleaned.withColumn("document_hash", T.document_hash(F.col("text"))), ["doc_id"])
 
 
+def drop_short_tokenized(judged: DataFrame, tokens: Column, least: int = 2) -> DataFrame:
+    """Kept rows of fewer than least tokens become too_short_tokenized. It follows deduplication, so such a row's hash
+    still stands for its copies."""
+    return judged.withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & (tokens < least), "too_short_tokenized").otherwise(F.col("drop_reason")))
+
+
+def corpus_texts(docs: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
+    """Squeezed texts of min_chars characters at least, as a tokenizer's corpus takes them."""
+    return docs.withColumn(text, T.squeeze(F.coalesce(text, F.lit("")))).filter(F.length(text) >= min_chars)
+
+
 def reason_histogram(df: DataFrame, by: str = "source") -> DataFrame:
     return df.filter("drop_reason IS NOT NULL").groupBy(by, "drop_reason").agg(F.count(F.lit(1)).alias("n"))
 

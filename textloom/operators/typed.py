@@ -103,6 +103,75 @@ def course_rows_from_text(pages: DataFrame, pattern: str = r"^([A-Z]{2,5}\s?\d{2
     return pages.select("source_url", F.inline(found)).select("source_url", F.col("code").alias("course_code"), "title", "description").filter("description <> ''")
 
 
+#: What a line that names a course is not; fixed values.
+STOP_LINE = "meet our faculty"
+NOT_A_TITLE = (
+    "photo of ", "prerequisite", "prerequisites", "note:", "list of ", "this course ", "in this course", "students ", "taught in ", "all freshmen ", "health & living ",
+    "advanced courses in computer science are offered", "honors sinfonia is open", "precalculus ensures ", "the world language department ", "from the ", "what is ", "why do ", "are humans ",
+    "for at least ", "many religious traditions ", "as nelson mandela said",
+)
+YEAR_IN_LINE = r"\b20\d{2}\s*[-–—/]\s*(?:20)?\d{2}\b"
+
+
+def course_rows_by_title(pages: DataFrame) -> DataFrame:
+    """(source_url, title, description, prerequisites) from (source_url, department, page_title, text) of pages without
+    course codes: a line that may be a title opens a course, the lines up to the next one describe it, a line that begins
+    with prerequisite names them, and a stop line ends the page. One fold over the lines; a course without a description
+    and prerequisites is none."""
+    numbered = pages.select("source_url", F.lower(T.squeeze(F.coalesce("department", F.lit("")))).alias("d"), F.lower(T.squeeze(F.coalesce("page_title", F.lit("")))).alias("p"),
+                            F.filter(F.transform(F.split("text", "\n"), T.squeeze), lambda x: x != "").alias("lines"))
+    stop = F.array_position(F.transform("lines", F.lower), STOP_LINE)
+    numbered = numbered.withColumn("lines", F.when(stop > 0, F.slice("lines", 1, (stop - 1).cast("int"))).otherwise(F.col("lines")))
+
+    def names(line: Column) -> Column:
+        low = F.lower(line)
+        starts = F.lit(False)
+        for x in NOT_A_TITLE:
+            starts = starts | low.startswith(x)
+        return ~(starts | (low == F.col("d")) | (low == F.col("p")) | line.contains("@") | line.rlike(YEAR_IN_LINE) | line.rlike(r"^\d") | line.endswith(".") | (F.size(F.split(line, " ")) > 14))
+
+    marked = numbered.withColumn("lines", F.transform("lines", lambda x: F.struct(x.alias("line"), names(x).alias("opens"))))
+    empty = F.struct(F.lit(None).cast("string").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("prerequisites"))
+    start = F.struct(empty.alias("open"), F.array().cast("array<struct<title:string,description:string,prerequisites:string>>").alias("done"))
+    closed = lambda s: F.when(s["open"]["title"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        line, o = x["line"], s["open"]
+        asks = F.lower(line).startswith("prerequisite")
+        after = T.squeeze(F.when(line.contains(":"), F.regexp_replace(line, r"^[^:]*:", "")).otherwise(line))
+        new = F.struct(line.alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("prerequisites"))
+        longer = F.struct(o["title"].alias("title"), F.when(asks, o["description"]).otherwise(F.trim(F.concat_ws(" ", o["description"], line))).alias("description"), F.when(asks, after).otherwise(o["prerequisites"]).alias("prerequisites"))
+        return F.struct(F.when(x["opens"], new).when(o["title"].isNotNull(), longer).otherwise(o).alias("open"), F.when(x["opens"], closed(s)).otherwise(s["done"]).alias("done"))
+
+    rows = marked.select("source_url", F.inline(F.aggregate("lines", start, step, closed)))
+    return rows.select("source_url", "title", F.nullif("description", F.lit("")).alias("description"), "prerequisites").filter("description IS NOT NULL OR prerequisites IS NOT NULL")
+
+
+def faculty_rows_from_text(pages: DataFrame) -> DataFrame:
+    """(source_url, name, role_title, bio, faculty_key) from (source_url, text): of each block between blank lines the first
+    line is a name of two words or more, the second a role and the rest a biography."""
+    blocks = pages.select("source_url", F.explode(F.split("text", "\n\n")).alias("b"))
+    lines = F.filter(F.transform(F.split("b", "\n"), T.squeeze), lambda x: x != "")
+    rows = blocks.select("source_url", lines.alias("l")).filter(F.size("l") >= 2)
+    rows = rows.select("source_url", F.get("l", F.lit(0)).alias("name"), F.get("l", F.lit(1)).alias("role_title"), F.nullif(F.array_join(F.slice("l", 3, F.size("l")), " "), F.lit("")).alias("bio"))
+    return rows.filter(F.col("name").contains(" ")).withColumn("faculty_key", T.slug(F.col("name")))
+
+
+def admissions_rows(documents: DataFrame, limit: int = 500) -> DataFrame:
+    """(source_url, chunk_index, fact_key, title, text, citation_label): each line chunk of a document under its title."""
+    from textloom.operators.web import line_chunks
+
+    each = documents.select("source_url", "title", F.posexplode(line_chunks(F.col("text"), limit)).alias("chunk_index", "chunk"))
+    return each.select(
+        "source_url", "chunk_index", T.slug(F.concat_ws("-", "title", "chunk_index")).alias("fact_key"), "title", F.concat_ws("\n", "title", "chunk").alias("text"), F.col("title").alias("citation_label")
+    )
+
+
+def publication_rows(documents: DataFrame) -> DataFrame:
+    """A row per document that has a text."""
+    return documents.filter(F.trim("text") != "").select("source_url", T.slug(F.col("title")).alias("publication_key"), "title", "school_year", "text", F.col("title").alias("citation_label"))
+
+
 def handbook_sections(pages: DataFrame, limit: int = 1200) -> DataFrame:
     """(source_url, page_start, heading, text) from (source_url, text): the parts between page marks; text without marks
     is cut into stretches of about limit characters."""

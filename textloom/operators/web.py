@@ -119,6 +119,49 @@ def page_type(url: Column, policies: Sequence[tuple[str, str]] = (), explicit: C
     return out if explicit is None else F.coalesce(T.nonempty(explicit), out)
 
 
+def policy_types(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """pages with the page_type of the first rule (rule_no, contains, page_type) whose text is in the address; null without
+    one. The rules are a configuration, a few rows."""
+    met = pages.select(id_col, "url").join(F.broadcast(rules.limit(MAX_RULES)), F.lower("url").contains(F.col("contains")))
+    first = met.groupBy(id_col).agg(F.min_by("page_type", "rule_no").alias("page_type"))
+    return pages.join(first, id_col, "left")
+
+
+def policy_rules(config: object) -> list[tuple[int, str, str]]:
+    """(rule_no, contains, page_type) from a list of rules or an object that holds one as rules or page_type_rules."""
+    entries = config if isinstance(config, list) else (config.get("rules") or config.get("page_type_rules") or []) if isinstance(config, dict) else []
+    return [(k, str(e.get("contains", "")).lower(), str(e.get("page_type", "page"))) for k, e in enumerate(x for x in entries if isinstance(x, dict))]
+
+
+#: Names of families as a run may give them. Fixed values.
+FAMILY_ALIASES = {"handbook": "handbook_policy", "admissions": "admissions_general", "publication": "academic_publications"}
+#: Rules that a policy may have.
+MAX_RULES = 10_000
+
+
+def family_alias(given: Column) -> Column:
+    """A family by its usual name; null where none is given."""
+    name = T.squeeze(given)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILY_ALIASES.items() for x in kv]), name), name)
+
+
+def selected_families(given: Sequence[str] | None, known: Sequence[str]) -> list[str]:
+    """The known ones among the given families, each once, by their usual names; all where none is."""
+    named = dict.fromkeys(FAMILY_ALIASES.get(" ".join(x.split()), " ".join(x.split())) for x in given or [])
+    return [x for x in named if x in known] or list(known)
+
+
+def extraction_mode(quality: Column) -> Column:
+    return F.when(quality < 0.6, "degraded").otherwise("native")
+
+
+def family_metrics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(family, refreshed, documents, chunks) of an ingest."""
+    counted = chunks.join(documents.select(F.col("id").alias("document_id"), "family"), "document_id").groupBy("family").agg(F.count(F.lit(1)).alias("chunks"))
+    out = documents.groupBy("family").agg(F.count(F.lit(1)).alias("documents")).join(counted, "family", "left")
+    return out.select("family", F.lit(True).alias("refreshed"), "documents", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 def family_of(kind: Column, families: Mapping[str, str] = FAMILIES) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in families.items() for x in kv]), kind), F.lit("general"))
 

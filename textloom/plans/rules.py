@@ -129,6 +129,25 @@ def prose_score() -> Column:
     return sum((s.cast("int") for s in signs), F.lit(0))
 
 
+def diagnostics(df: DataFrame) -> DataFrame:
+    """The 25 metrics of each document that the rules look at, over the columns of with_metrics, and the line rule that
+    holds first."""
+    density = lambda n: T.ratio(n, c("n_words"))
+    df = df.withColumns({f"s{n}": ngram_signal(c("words"), n) for n in (5, 8)})
+    terms = {"medical_terms": L.MEDICAL_TERMS, "product_terms": L.PRODUCT_TERMS, "dictionary_terms": L.DICTIONARY_TERMS, "page_terms": L.PAGE_TERMS}
+    df = df.withColumns({k: T.count_terms(c("low"), v) for k, v in terms.items()})
+    strike = lambda column, sign: F.length(column) - F.length(F.translate(column, sign, ""))
+    return df.withColumns(
+        {
+            "chars": F.length("text"), "split_words": c("n_split"), "sentences": c("n_sentences"), "questions": strike("text", "?"), "urls": c("n_urls"),
+            "separators": F.regexp_count("raw", F.lit(L.SEPARATORS)), "pipes": strike("raw", "|"), "max_5": c("s5.max_count"), "max_8": c("s8.max_count"), "prose_score": prose_score(),
+            "sentence_words": T.ratio(c("n_words"), c("n_sentences")), "distinct_ratio": T.ratio(F.size(F.array_distinct("words")), c("n_words")),
+            "alpha_ratio": T.ratio(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.length("text")), "url_density": density(c("n_urls")), "medical_density": density(c("medical_terms")),
+            "product_density": density(c("product_terms")), "page_density": density(c("page_terms")), "extra_5": c("s5.extra"), "extra_8": c("s8.extra"), "line_reason": first_reason(line_shape()),
+        }
+    ).withColumns({"words": c("n_words"), "lines": c("n_lines")})
+
+
 def curated_rules() -> Rules:
     both = [c("low"), c("raw_low")]
     density = lambda n: T.ratio(n, c("n_words"))

@@ -47,15 +47,8 @@ def query(sql: str | None = None):
     return put
 
 
-#: Inputs below this size are dealt out over the cores: a small Parquet file may hold one row group, which one task reads.
-SPREAD_BYTES = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages") and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,21 +125,6 @@ def document_metrics(spark, sf_dir):
     )
 
 
-@query()
-def curated_reasons(spark, sf_dir):
-    return prepared(spark, sf_dir, "curated_lm").groupBy("source", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def broad_reasons(spark, sf_dir):
-    return prepared(spark, sf_dir, "broad_lm").groupBy("source", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def domain_reasons(spark, sf_dir):
-    return prepared(spark, sf_dir, "domain_lm").groupBy("source", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"{PREPARED} SELECT doc_id, source, drop_reason FROM p WHERE drop_reason = 'exact_duplicate'")
 def exact_dedup_first_wins(spark, sf_dir):
     return prepared(spark, sf_dir).filter("drop_reason = 'exact_duplicate'").select("doc_id", "source", "drop_reason")
@@ -230,16 +208,6 @@ def density_gate_failures(spark, sf_dir):
     return audit.gate(wide, {"frequent_en": 0.06, "frequent_fr": 0.02, "frequent_de": 0.01}, "source")
 
 
-@query()
-def artifact_densities(spark, sf_dir):
-    return audit.artifact_counts(squeezed(spark, sf_dir), "source")
-
-
-@query()
-def junk_scores(spark, sf_dir):
-    return audit.junk_score(audit.artifact_counts(squeezed(spark, sf_dir), "source"), "source")
-
-
 @query(f"""{PREPARED} SELECT l.quality, p.drop_reason IS NULL AS kept, count(*) AS n, CAST(sum(p.n) AS BIGINT) AS words FROM p JOIN labels l USING (doc_id) GROUP BY ALL""")
 def filter_vs_labels(spark, sf_dir):
     p = prepared(spark, sf_dir).withColumn("n_words", T.count_split_words(F.col("text")).cast("long")).join(table(spark, sf_dir, "labels"), "doc_id")
@@ -261,30 +229,11 @@ def length_stats_accept_reject(spark, sf_dir):
     return p.groupBy("source", F.col("drop_reason").isNull().alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("size"), 6).alias("mean_chars"), F.round(F.median("size"), 6).alias("median_chars"))
 
 
-HIDDEN = {"license": ("licensed under", "cc by", "all rights reserved"), "credential": ("password=", "akia", "token = "), "contact": ("@", "+1 (")}
-_HIDDEN_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS family, doc_id, list_filter({list(v)}, lambda p: contains(low, p)) AS matched FROM l" for k, v in HIDDEN.items()
-)
-
-
 def _shown(found):
     shown = F.array_join(F.transform("examples", lambda e: F.concat(e["id"].cast("string"), F.lit(":"), F.array_join(e["matched"], "|"))), " ")
     return found.select("family", "documents", shown.alias("examples"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), m AS (SELECT * FROM ({_HIDDEN_SQL}) WHERE len(matched) > 0),
-t AS (SELECT family, count(*) AS documents FROM m GROUP BY family), e AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY family ORDER BY doc_id) <= 5)
-SELECT family, documents, string_agg(doc_id || ':' || array_to_string(matched, '|'), ' ' ORDER BY doc_id) AS examples FROM e JOIN t USING (family) GROUP BY ALL""")
-def hidden_pattern_scan(spark, sf_dir):
-    return _shown(audit.pattern_examples(table(spark, sf_dir, "documents"), "doc_id", HIDDEN))
-
-
-# The scan above follows its SQL, which has three families; this one has the 21 of the plan.
-@query()
-def hidden_pattern_families(spark, sf_dir):
-    return _shown(audit.pattern_examples(table(spark, sf_dir, "documents"), "doc_id"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, {SQUEEZE} AS t FROM documents), b AS (SELECT DISTINCT {SQUEEZE} AS t FROM benchmark) SELECT doc_id FROM d SEMI JOIN b USING (t)""")
 def contamination_exact(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(T.document_hash(T.squeeze("text")).alias("h"))
@@ -335,11 +284,6 @@ def weighted_mix_capped(spark, sf_dir):
     return mixing.capped_mix(_counted(spark, sf_dir), {"src0": 0.5, "src1": 0.3, "src2": 0.2}, "doc_id", max_share=0.5, budget=10_000, repeat_cap=0.2)
 
 
-@query()
-def pack_windows(spark, sf_dir):
-    return mixing.pack_windows(_counted(spark, sf_dir), "doc_id", "n_tokens", 512)
-
-
 @query(f"""{SQUEEZED}, w AS (SELECT doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''), x AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 256 + 1)) AS "window" FROM w),
 y AS (SELECT doc_id, "window", w["window" * 256 + 1 : "window" * 256 + 256] AS p FROM x)
 SELECT doc_id, "window", len(p) AS n_tokens, md5(array_to_string(list_concat(p, list_resize(CAST([] AS VARCHAR[]), 256 - len(p), '<pad>')), ' ')) AS ids FROM y""")
@@ -430,11 +374,11 @@ TERMS_SQL = lambda t: rf"list_filter(list_transform(regexp_extract_all({t}, '[A-
 INDEX_SQL = f"""{CHUNKS_SQL}, e AS (SELECT chunk_id, {TERMS_SQL("chunk")} AS t FROM c), st AS (SELECT chunk_id, greatest(len(t), 1) AS length FROM e),
 po AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM e) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM c) + 1) / (count(*) + 0.5)) + 1 AS idf FROM po GROUP BY term)"""
-RETRIEVE_SQL = rf"""{INDEX_SQL}, q AS (SELECT item_id AS query_id, {TERMS_SQL("array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 12), ' ')")} AS t FROM benchmark),
+RETRIEVE_SQL = rf"""{INDEX_SQL}, q AS (SELECT item_id AS query_id, {TERMS_SQL("text")} AS t FROM benchmark),
 qt AS (SELECT query_id, qn AS query_terms, term, count(*) AS qtf FROM (SELECT query_id, len(list_distinct(t)) AS qn, unnest(t) AS term FROM q) GROUP BY ALL),
 m AS (SELECT query_id, chunk_id, query_terms, sum((1 + ln(qtf)) * (1 + ln(1 + tf)) * (tf / length) * idf) AS s, count(*) AS matched FROM qt JOIN po USING (term) JOIN idf USING (term) JOIN st USING (chunk_id) GROUP BY ALL),
 h AS (SELECT query_id, chunk_id, round((0.5 + matched / query_terms) * s, 6) AS score, matched, query_terms, round(matched / query_terms, 6) AS overlap FROM m WHERE matched >= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h WHERE score > 0 QUALIFY rank <= 5)""".replace("\\\\s", "\\s")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h WHERE score > 0 QUALIFY rank <= 5)"""
 
 
 def _chunks(spark, sf_dir):
@@ -443,16 +387,10 @@ def _chunks(spark, sf_dir):
     return out
 
 
-def _hits(spark, sf_dir, whole=False):
+def _hits(spark, sf_dir, **gates):
     index = retrieve.build_index(_chunks(spark, sf_dir), "chunk_id", "chunk")
-    text = T.squeeze(F.col("text"))
-    query = text if whole else F.array_join(F.slice(T.split_words(text), 1, 12), " ")
-    return retrieve.retrieve(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query")), index, 5, min_matched=2)
-
-
-def _by_source(hits):
-    hits = hits.withColumn("source", F.concat(F.lit("src"), F.substring_index("chunk_id", "-", 1).cast("long") % 3))
-    return evals.score_matrix(hits, "query_id", "source", ["src0", "src1", "src2"], "score")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.squeeze(F.col("text")).alias("query"))
+    return retrieve.retrieve(asked, index, 5, min_matched=2, **gates)
 
 
 @query(f"{CHUNKS_SQL} SELECT doc_id, chunk_no, word_count, md5(chunk) AS digest FROM c")
@@ -460,44 +398,25 @@ def chunk_words(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_no", "word_count", F.md5("chunk").alias("digest"))
 
 
-@query()
-def chunk_windows(spark, sf_dir):
-    return retrieve.sentence_windows(squeezed(spark, sf_dir), "doc_id")
-
-
-@query()
-def chunk_reject_reasons(spark, sf_dir):
-    c = retrieve.sentence_windows(squeezed(spark, sf_dir), "doc_id").withColumn("w", T.split_words(T.squeeze(F.lower("chunk"))))
-    return c.groupBy(retrieve.chunk_reject_reason(F.col("chunk"), F.col("w")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"{INDEX_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def tfidf_index(spark, sf_dir):
     return retrieve.build_index(_chunks(spark, sf_dir), "chunk_id", "chunk")[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+# The two above follow their SQL, which takes the first 12 words of a query; these take all of them.
+
+
 @query(f"{RETRIEVE_SQL} SELECT query_id, chunk_id, score, matched, query_terms, overlap, rank FROM r")
 def retrieve_topk(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
-@query(f"""{RETRIEVE_SQL}, mx AS (SELECT query_id, 'src' || (CAST(split_part(chunk_id, '-', 1) AS BIGINT) % 3) AS source, score FROM r)
-SELECT query_id, max(score) FILTER (source = 'src0') AS src0, max(score) FILTER (source = 'src1') AS src1, max(score) FILTER (source = 'src2') AS src2 FROM mx GROUP BY query_id""")
+@query(f"""{RETRIEVE_SQL}, mx AS (SELECT query_id, d.source, score FROM r JOIN documents d ON d.doc_id = CAST(split_part(chunk_id, '-', 1) AS BIGINT))
+SELECT query_id, {", ".join(f"max(score) FILTER (source = 'src{k}') AS src{k}" for k in range(20))} FROM mx GROUP BY query_id""")
 def query_source_matrix(spark, sf_dir):
-    return _by_source(_hits(spark, sf_dir))
-
-
-# The two above follow their SQL, which takes the first 12 words of a query; these take all of them.
-
-
-@query()
-def retrieve_topk_whole(spark, sf_dir):
-    return _hits(spark, sf_dir, whole=True)
-
-
-@query()
-def query_source_matrix_whole(spark, sf_dir):
-    return _by_source(_hits(spark, sf_dir, whole=True))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d"), "source")
+    hits = _hits(spark, sf_dir).withColumn("d", F.substring_index("chunk_id", "-", 1)).join(sources, "d")
+    return evals.score_matrix(hits, "query_id", "source", [f"src{k}" for k in range(20)], "score")
 
 
 # --- pages and snapshots ---------------------------------------------------------------------------------------------
@@ -530,11 +449,6 @@ def page_type_route(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.page_type(F.col("url"), _POLICIES).alias("page_type"))
 
 
-@query()
-def line_chunks_500(spark, sf_dir):
-    return web.chunks_of(web.documents_of(table(spark, sf_dir, "pages"), "s1")).select("document_id", "chunk_index", "id", F.length("text").alias("n_chars"))
-
-
 @query(r"""SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY length(text) DESC, length(source) DESC, doc_id) = 1""")
 def quality_wins_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -567,19 +481,10 @@ def version_compare(spark, sf_dir):
 _TOKENS = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda y: y <> ''))"
 
 
-@query(rf"""WITH q AS (SELECT item_id AS query_id, lower(trim(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 6), ' '))) AS q FROM benchmark WHERE item_id < 20),
-h AS (SELECT doc_id, lower(concat_ws(' ', text, source)) AS h FROM documents),
+@query(rf"""WITH q AS (SELECT item_id AS query_id, lower({SQUEEZE}) AS q FROM benchmark WHERE item_id % 100 = 0), h AS (SELECT doc_id, lower(concat_ws(' ', text, source)) AS h FROM documents),
 s AS (SELECT query_id, doc_id, round(CASE WHEN contains(h, q) AND q <> '' THEN 8.0 ELSE 0.0 END + 1.5 * len(list_intersect({_TOKENS('q')}, {_TOKENS('h')})), 6)::DOUBLE AS score FROM h, q)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
 def ranked_search(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 20")  # a stated set of 20 queries against all rows
-    q = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.split_words(T.squeeze(F.col("text"))), 1, 6), " ").alias("query"))
-    return snapshots.ranked_search(q, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["text", "source"], "doc_id")
-
-
-# The search above follows its SQL, which has 20 queries of 6 words; these take the whole of every hundredth row.
-@query()
-def ranked_search_whole(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), T.squeeze(F.col("text")).alias("query"))
     return snapshots.ranked_search(q, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ["text", "source"], "doc_id")
 
@@ -722,14 +627,6 @@ def template_dominance(spark, sf_dir):
     return reports.dominance(audit.leading_families(d, "source", 1), d.groupBy("source").agg(F.count(F.lit(1)).alias("documents")))
 
 
-@query()
-def corpus_quality_gate(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    domain = F.col("source").isin("src0", "src1")
-    families = audit.leading_families(p.filter("drop_reason IS NULL"), "source", 1)
-    return reports.corpus_gate(families, audit.source_report(p), reports.scaffold_counts(table(spark, sf_dir, "documents")), domain, domain)
-
-
 @query(f"""{PREPARED}, s AS (SELECT source, CAST(sum(n) FILTER (drop_reason IS NULL) AS BIGINT) AS tokens, count(*) FILTER (drop_reason IS NULL) AS documents FROM p GROUP BY source),
 c AS (SELECT CAST(coalesce(sum(tokens) FILTER (source IN ('src0', 'src1')), 0) AS BIGINT) AS domain_tokens, CAST(coalesce(sum(documents) FILTER (source IN ('src0', 'src1')), 0) AS BIGINT) AS domain_documents, sum(tokens) AS t, sum(documents) AS d FROM s)
 SELECT domain_tokens, domain_documents, round(domain_tokens / greatest(t, 1), 6) AS token_share, round(domain_documents / greatest(d, 1), 6) AS document_share, round(domain_tokens / greatest(t, 1) / 0.2::DOUBLE, 6) AS realization_ratio,
@@ -767,13 +664,6 @@ def chat_diagnostics(spark, sf_dir):
     return reports.example_diagnostics(rows, ["bucket"], "s", "labels", "tokens", 300)
 
 
-@query()
-def contributor_counts(spark, sf_dir):
-    d = squeezed(spark, sf_dir).withColumn("w", T.split_words(F.col("text"))).withColumn("n", F.size("w"))
-    windows = mixing.window_rows(mixing.pack_windows(d, "doc_id", "n", 512, shards=8), d, "doc_id", F.col("w"), "</s>", "<pad>", 512, "source")
-    return reports.contributor_counts(windows)
-
-
 @query()
 def examples_from_chunks(spark, sf_dir):
     c = _chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("source_file"), F.lit("low").alias("risk_level"), F.lit("rag").alias("allowed_use"), F.col("chunk").alias("text"))
