@@ -7,13 +7,30 @@ and packing per shard are the ways without that task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def concatenated(df: DataFrame, sources: Sequence[str], order: str, source: str = "source") -> DataFrame:
+    """Adds place: sources one after the other as given, each in order, as they stand where no source has a weight. Places
+    come from the sizes of ordered ranges."""
+    from textloom.sources.sinks import with_shards
+
+    number = F.lit(None).cast("int")
+    for k, s in enumerate(sources):
+        number = F.when(F.col(source) == s, k).otherwise(number)
+    ranked = with_shards(df.withColumn("__source_no", number).filter(F.col("__source_no").isNotNull()), ["__source_no", order], 1 << 40)
+    return ranked.withColumn("place", F.col("row_index")).drop("__source_no", "shard_index", "row_index")
+
+
+def mask_of(ids: Column, pad) -> Column:
+    """1 for a token, 0 for a pad."""
+    return F.transform(ids, lambda x: F.when(x == pad, 0).otherwise(1))
+
+
 def closed_form_mix(df: DataFrame, shares: Mapping[str, float], order: str, tokens: str = "n_tokens", source: str = "source") -> DataFrame:
     """Adds mix_key, by which two uncapped sources stand in the order of deficit-greedy mixing: the tokens before a
     document in its source over the source's share; ties go to the larger share."""
@@ -108,7 +125,7 @@ def pack_windows(df: DataFrame, order: str, tokens: str, size: int = 512, shards
     """(shard, window, part, record, token_start, token_end): exact next-fit over the documents in order, an end mark
     added to each; windows of fewer than least tokens are left out. One shard is one scan in global order; more shards
     pack hashed parts of the documents independently, each shard leaving one window open at its end."""
-    shard = F.lit(0).cast("long") if shards == 1 else F.pmod(F.xxhash64(order), F.lit(shards))
+    shard = F.lit(0).cast("long") if shards == 1 else F.pmod(F.conv(F.left(F.md5(F.col(order).cast("string")), F.lit(8)), 16, 10).cast("long"), F.lit(shards))
     narrow = df.select(shard.alias("shard"), F.col(order).cast("long").alias("record"), F.col(tokens).cast("long").alias("n"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

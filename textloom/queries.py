@@ -663,8 +663,3 @@ def chat_diagnostics(spark, sf_dir):
     )
     return reports.example_diagnostics(rows, ["bucket"], "s", "labels", "tokens", 300)
 
-
-@query()
-def examples_from_chunks(spark, sf_dir):
-    c = _chunks(spark, sf_dir).select("chunk_id", F.col("doc_id").cast("string").alias("source_file"), F.lit("low").alias("risk_level"), F.lit("rag").alias("allowed_use"), F.col("chunk").alias("text"))
-    return reports.examples_from_chunks(c, 200, 50)

@@ -50,8 +50,7 @@ def chunk_windows(spark, sf_dir):
 
 
 def _judged_chunks(spark, sf_dir):
-    c = _windows(spark, sf_dir).withColumn("w", T.split_words(T.squeeze(F.lower("chunk"))))
-    return c.withColumn("reason", retrieve.chunk_reject_reason(F.col("chunk"), F.col("w"))).drop("w")
+    return retrieve.judged_chunks(_windows(spark, sf_dir))
 
 
 @query(f"{REASONS_SQL} SELECT reason, count(*) AS n FROM cr GROUP BY ALL")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +15,17 @@ from pyspark.sql import functions as F
 VERSION = "2.0"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; on one machine a temporary one where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, path[len("file://") :], ignore_errors=True)
+    return path.rstrip("/")
+
+
 def fingerprint(config: Mapping) -> str:
     """SHA-256 of the canonical JSON of a configuration."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
