@@ -22,14 +22,14 @@ ROUTE_RULES = (
     (
         "admissions_general", 4,
         ("apply", "application", "admission", "admissions", "tuition", "financial aid", "deadline", "mission", "values", "community", "college guidance", "prospective", "interview", "campus",
-         "location", "colleges", "universities", "matriculation", "matriculate", "college results", "college outcomes"),
+         "location", "colleges", "universities", "matriculation", "matriculate", "college results", "college outcomes", "harvard", "yale", "princeton", "stanford", "mit", "ivy"),
     ),
     (
         "student_life", 4,
         ("dorm", "dorm life", "dining", "food", "chapel", "clubs", "affinity", "student leadership", "wellness", "weekend", "student life", "life living", "boarding", "boarding life",
          "campus life", "culture", "campus"),
     ),
-    ("museum_programs", 4, ("museum", "unique learning", "unique program", "paleontology museum", "research opportunity")),
+    ("museum_programs", 4, ("museum", "alf", "unique learning", "unique program", "paleontology museum", "research opportunity")),
     ("athletics", 4, ("athletics", "team", "schedule", "record", "won", "lost", "game", "season", "coach", "tennis", "soccer", "basketball", "softball", "volleyball")),
     ("planner_advice", 5, ("overwhelmed", "plan my week", "weekly plan", "time management", "procrastinate", "study plan", "balance sports", "routine", "catch up this week")),
     (
@@ -40,6 +40,139 @@ ROUTE_RULES = (
 )
 
 
+def route_rules(institution: str | None = None) -> tuple:
+    """ROUTE_RULES, with what people ask of an institution by its name."""
+    if not institution:
+        return ROUTE_RULES
+    name = institution.lower()
+    more = {"student_life": (f"life at {name}", f"living at {name}", f"what is {name} like")}
+    return tuple((r, n, (*words, *more.get(r, ()))) for r, n, words in ROUTE_RULES)
+
+
+def create(label: str, created_at: str, **about: str | None):
+    """One row of a snapshot's table: its id is a hash of what it is made of; neither completed nor current."""
+    def row(spark):
+        given = spark.createDataFrame([(label, created_at, *about.values())], ", ".join(f"`{c}` string" for c in ("label", "created_at", *about)))
+        return given.select(stable_id("snapshot", *[F.col(c) for c in ("label", *about)]).alias("id"), "*", F.lit(False).alias("completed"), F.lit(False).alias("current"))
+
+    return row
+
+
+def complete(snapshots: DataFrame, snapshot: str) -> DataFrame:
+    """snapshots with one completed and current, and no other current."""
+    own = F.col("id") == snapshot
+    return snapshots.withColumn("completed", F.col("completed") | own).withColumn("current", own)
+
+
+def flagged(table: DataFrame, snapshot: str) -> DataFrame:
+    """A snapshot table with current as of a snapshot: a view, as rows need no change."""
+    return table.withColumn("current", F.col("snapshot_id") == snapshot)
+
+
+def sync(new: tuple[DataFrame, DataFrame], old: tuple[DataFrame, DataFrame], old_id: str, new_id: str, selected: Sequence[str], families: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of a new snapshot: ingested ones of the selected families, the others carried forward."""
+    documents, chunks = new
+    fresh = documents.filter(F.col("family").isin(list(selected)))
+    parts = chunks.join(fresh.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    kept, kept_parts = carry_forward(*old, old_id, new_id, [f for f in families if f not in selected])
+    return fresh.unionByName(kept), parts.select(old[1].columns).unionByName(kept_parts)
+
+
+def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
+    return table.filter(F.col(key) == F.lit(value))
+
+
+def sections_of(sections: DataFrame, course: object, term: object | None = None, course_col: str = "course_id", term_col: str = "term_id") -> DataFrame:
+    """Sections of a course, of one term where it is given."""
+    out = lookup(sections, course_col, course)
+    return out if term is None else lookup(out, term_col, term)
+
+
+#: The fields that a search of each kind of row reads, and the filters it takes. Fixed values.
+SEARCHES = {
+    "course": (("course_code", "title", "department", "description", "prerequisites", "teacher_names"), ("school_year",)),
+    "faculty": (("name", "role_title", "department", "bio"), ()),
+    "handbook": (("section_title", "section_path", "text"), ()),
+    "admissions": (("title", "text"), ()),
+    "publication": (("title", "school_year", "text"), ()),
+    "chunk": (("heading", "text", "normalized_text"), ("source_type", "source_family")),
+    "team": (("team_name", "coach_name", "summary"), ("season",)),
+    "game": (("team_name", "opponent", "game_date", "result", "venue"), ("season",)),
+    "record": (("team_name", "record_type", "value"), ("season",)),
+    "document": (("title", "source_url", "text"), ("page_type", "family")),
+}
+
+
+def typed_search(kind: str, queries: DataFrame, rows: DataFrame, snapshot: str | None, id_col: str, k: int = 5, fuzzy: bool = True, **filters: object) -> DataFrame:
+    """ranked_search over the rows of a snapshot with the fields of their kind; filters name a value or several."""
+    fields, allowed = SEARCHES[kind]
+    if unknown := set(filters) - set(allowed):
+        raise ValueError(f"no filter of {kind}: {sorted(unknown)}")
+    rows = rows if snapshot is None else scan(rows, snapshot)
+    for name, value in filters.items():
+        if value is not None:
+            rows = rows.filter(F.col(name).isin(value if isinstance(value, (list, tuple)) else [value]))
+    return ranked_search(queries, rows, [f for f in fields if f in rows.columns], id_col, k, fuzzy)
+
+
+def compare_versions(queries: DataFrame, rows: DataFrame, year_a: str, year_b: str, fields: Sequence[str], key: str = "course_key", limit: int = 20, most: int = 200, fuzzy: bool = True) -> DataFrame:
+    """(query_id, key, status) of courses that two ranked searches, one a year, find: added, removed and changed ones, where
+    case and white space do not count; nothing where either search finds nothing. Up to limit of each status by key."""
+    found = []
+    for year in (year_a, year_b):
+        own = rows.filter(F.col("school_year") == year)
+        hits = ranked_search(queries, own, fields, key, most, fuzzy).select("query_id", key)
+        value = F.md5(F.concat_ws("\x01", *[F.lower(T.squeeze(F.coalesce(f, F.lit("")))) for f in fields]))
+        found.append(hits.join(own.select(key, value.alias("v")), key))
+    a, b = found
+    both = a.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id")
+    met = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), ["query_id", key], "full").join(both, "query_id", "left_semi")
+    status = F.when(F.col("va").isNull(), "added").when(F.col("vb").isNull(), "removed").when(F.col("va") != F.col("vb"), "changed")
+    w = Window.partitionBy("query_id", "status").orderBy(key)
+    out = met.select("query_id", key, status.alias("status")).filter("status IS NOT NULL")
+    return out.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).drop("__n")
+
+
+def change_hits(changes: DataFrame, rows: DataFrame, key: str, label: str, text: str, each: int = 3, most: int = 5) -> DataFrame:
+    """(query_id, content, citations): the changes of a query as lines Added, Removed and Changed, and the labels of the
+    first few of each, most in all."""
+    order = F.when(F.col("status") == "added", 0).when(F.col("status") == "removed", 1).otherwise(2)
+    named = changes.join(rows.select(key, F.col(label).alias("label")).groupBy(key).agg(F.min("label").alias("label")), key).withColumn("o", order)
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "status").orderBy(key)))
+    lines = named.groupBy("query_id", "o", "status").agg(F.array_sort(F.collect_list(F.struct("n", "label"))).alias("l"))
+    line = F.concat(F.initcap("status"), F.lit(": "), F.array_join("l.label", "; "))
+    met = lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", line.alias("line"), F.slice("l.label", 1, each).alias("cited")))).alias("x"))
+    return met.select("query_id", F.array_join("x.line", "\n").alias("content"), F.slice(F.flatten("x.cited"), 1, most).alias("citations"))
+
+
+def union_hits(parts: Sequence[tuple[DataFrame, Column | None]], queries: DataFrame, by: str, key: Sequence[str], limit: int) -> DataFrame:
+    """Hits of several sources (by, rank, key ...), half the limit of each, in the order of the sources; a source with a
+    condition is asked only for the queries it holds for. Repeats of a key go, the first stays, up to limit."""
+    half, union = max(1, limit // 2), None
+    for k, (hits, condition) in enumerate(parts):
+        hits = hits.filter(F.col("rank") <= half).withColumn("source_no", F.lit(k))
+        if condition is not None:
+            hits = hits.join(queries.filter(condition).select(by), by, "left_semi")
+        union = hits if union is None else union.unionByName(hits)
+    return distinct_hits(union, by, key, ["source_no", "rank"], limit)
+
+
+def school_years(text: Column) -> Column:
+    """All school years of a text as YYYY-YY."""
+    found = F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\s*[-–—/]\s*(20\d{2}|\d{2})\b"), F.lit(0))
+    return F.transform(found, lambda x: F.concat(F.left(x, F.lit(4)), F.lit("-"), F.right(x, F.lit(2))))
+
+
+#: Words of a question for a department's overview. Fixed values.
+DEPARTMENTS = ("humanities", "english", "history", "math", "mathematics", "computer science", "science", "world language", "world languages", "fine arts", "art")
+LISTINGS = ("all", "courses", "classes", "offerings", "electives", "advanced studies", "honors")
+
+
+def asks_overview(question: Column, code: str = r"\b[A-Z]{2,4}\s?\d{3}\b") -> Column:
+    low = [F.lower(question)]
+    return T.contains_any(low, DEPARTMENTS) & T.contains_any(low, LISTINGS) & ~question.rlike(code)
+
+
 def resolve(snapshots: DataFrame) -> DataFrame:
     """The one snapshot to read: current and completed, else the newest completed, else the newest."""
     order = [F.desc(F.col("current") & F.col("completed")), F.desc("completed"), F.desc("created_at"), F.desc("id")]
@@ -176,5 +309,11 @@ def catalog_terms(code: Column) -> Column:
     return F.array_distinct(F.array(F.regexp_replace(plain, r"^([A-Z]+)(\d+)", "$1 $2"), plain, code))
 
 
+def flatten_values(values: Mapping[str, Column], kinds: Mapping[str, str]) -> Column:
+    """Fields as one text: lists item by item, maps as keys with their values, nothing for nulls."""
+    flat = lambda c, kind: F.array_join(c, " ") if kind == "array" else F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), " ") if kind == "map" else c
+    return F.concat_ws(" ", *[flat(c, kinds.get(k, "text")) for k, c in values.items()])
+
+
 def flatten_fields(values: Mapping[str, Column]) -> Column:
     return F.concat_ws(" ", *values.values())

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = "2.0"
@@ -119,3 +119,29 @@ def best_of(df: DataFrame, path: str, metric: str, step: str, keep: int) -> Data
     """The best candidates by (metric, step), each path once."""
     once = df.withColumn("__n", F.row_number().over(Window.partitionBy(path).orderBy(metric, step))).filter("__n = 1").drop("__n")
     return once.orderBy(metric, step).limit(keep)
+
+
+def retention(df: DataFrame, path: str, metric: str, step: str, keep: int) -> DataFrame:
+    """df's candidates, each path once, with keep: whether it is among the best or is to be pruned."""
+    best = best_of(df, path, metric, step, keep).select(path)
+    once = df.withColumn("__n", F.row_number().over(Window.partitionBy(path).orderBy(metric, step))).filter("__n = 1").drop("__n")
+    return once.join(best.withColumn("__b", F.lit(True)), path, "left").withColumn("keep", F.coalesce("__b", F.lit(False))).drop("__b")
+
+
+def artifact_status(blocked: Column, dev_only: Column, untrusted: Column) -> Column:
+    """blocked before dev_only before promotable; flags that are not known do not hold."""
+    held = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(held(blocked), "blocked").when(held(dev_only) | held(untrusted), "dev_only").otherwise("promotable")
+
+
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path below folder, bytes, sha256) of every file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    below = F.regexp_replace("path", r"^.*?/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def export_examples(df: DataFrame, folder: str) -> DataFrame:
+    """Rows as JSON lines; returns them as read again with their schema."""
+    df.write.mode("overwrite").json(folder)
+    return df.sparkSession.read.schema(df.schema).json(folder)
