@@ -69,22 +69,26 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * self.difference(text) + self.offset))))
 
 
-def train(good: list[str], bad: list[str]) -> Model:
+def train(good: list[str], bad: list[str], labelled: tuple[int, int] | None = None) -> Model:
     """Half of each class builds the dictionaries; the other half fits the logistic curve, each class weighing as much
-    as its share of what was given. Without texts of both classes the score is the share of good ones, or one half."""
+    as its share of all labelled rows (good and bad), of which the texts may be a sample of other shares. Without texts
+    of both classes the score is the share of good ones, or one half."""
+    n_good, n_bad = labelled or (len(good), len(bad))
     if not good or not bad:
-        share = (len(good) + 1) / (len(good) + len(bad) + 2)
+        share = (n_good + 1) / (n_good + n_bad + 2)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
     model = Model(_dictionary(good[::2]), _dictionary(bad[::2]))
     x = np.array([model.difference(t) for t in good[1::2] + bad[1::2]])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
+    weight = np.array([n_good / len(good)] * len(good[1::2]) + [n_bad / len(bad)] * len(bad[1::2]))
+    weight /= max(weight.mean(), 1e-12) if len(weight) else 1.0
     scale = max(float(np.abs(x).max(initial=0)), 1e-6)
     a, b = 0.0, 0.0
     z = x / scale
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-(a * z + b)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * z).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
+        w = weight * p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - y) * z).sum() + 0.01 * a, (weight * (p - y)).sum() + 0.01 * b])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 5 / max(np.abs(step).max(), 1e-9))
@@ -102,7 +106,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows; other columns, whatever their names, are not read. A very long text takes time in proportion.
     """
     good, bad = labelled_sample(docs, labels, "quality", modulus, held_out, id_col, text_col, SAMPLE_ROWS, SAMPLE_CHARS)
-    model = docs.sparkSession.sparkContext.broadcast(train(good, bad))
+    known = labels.filter(fold_of(F.col("doc_id"), modulus) != held_out).agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).head()
+    model = docs.sparkSession.sparkContext.broadcast(train(good, bad, tuple(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
