@@ -142,24 +142,26 @@ def realizable(unique_documents: float, average_tokens: float, repeat_cap: float
     return unique_documents / max(1 - repeat_cap, 1e-9) * average_tokens
 
 
-def allocate(total: int, shares: Mapping[str, float], capacities: Mapping[str, float]) -> dict[str, float]:
-    """Water filling: every open source takes its share of what remains; one that would exceed its capacity is filled
-    and closed, and what it leaves goes round again. Within a pass, sources in the given order see what is left."""
-    got = dict.fromkeys(shares, 0.0)
-    open_sources, remaining = [s for s in shares if shares[s] > 0], float(total)
-    while open_sources and remaining > 1e-6:
-        weight, filled = sum(shares[s] for s in open_sources), []
-        before = remaining
-        for s in open_sources:
-            want = before * shares[s] / weight
-            take = min(want, capacities[s] - got[s], remaining)
-            got[s] += take
-            remaining -= take
-            if capacities[s] - got[s] <= 1e-6:
-                filled.append(s)
-        if not filled:
-            break
-        open_sources = [s for s in open_sources if s not in filled]
+def allocate(total: float, shares: Mapping[str, float], capacities: Mapping[str, float]) -> dict[str, float]:
+    """Water filling: in each pass every open source with a target wants its share of what then remains; one that wants more
+    than its capacity gets that and is closed, and what is left goes on to the next within the pass. Once no source is
+    closed the open ones take their shares. If only sources without a target are open, they share what is left equally, up
+    to their capacities."""
+    got, left, remaining = dict.fromkeys(shares, 0.0), list(shares), float(total)
+    while left and remaining > 0 and (weight := sum(max(shares[s], 0.0) for s in left)) > 0:
+        full = []
+        for s in left:
+            if remaining * max(shares[s], 0.0) / weight > capacities[s] + 1e-8:
+                got[s] = capacities[s]
+                remaining -= capacities[s]
+                full.append(s)
+        left = [s for s in left if s not in full]
+        if not full:
+            for s in left:
+                got[s] = remaining * max(shares[s], 0.0) / weight
+            return got
+    for s in left if remaining > 0 else []:
+        got[s] = min(remaining / len(left), capacities[s])
     return got
 
 

@@ -244,3 +244,213 @@ def clean_response(text: Column, stops: Sequence[str], special: Sequence[str] =
     for s in special:
         text = F.replace(text, F.lit(s), F.lit(""))
     return F.trim(text)
+
+
+#: Marks in grounded samples; fixed values.
+SAMPLE_REFUSALS = ("i can't say that", "i cant say that", "i can’t say that", "i can't help you", "i can’t help you", "i can't help you to help")
+SAMPLE_ABSTENTIONS = (
+    "not listed", "not in the catalog", "not in the handbook", "not enough information", "cannot confirm", "can't confirm", "i don't see", "i do not see", "i can't verify", "i cannot verify",
+)
+SAMPLE_CLARIFICATIONS = ("what ", "which ", "can you share", "could you share", "tell me more", "before i recommend", "before recommending")
+SOURCE_MENTIONS = {"course catalog": ("course catalog says", "catalog says", "[source: course catalog]"), "handbook": ("handbook says", "[source: handbook]")}
+FABRICATED = ("the handbook says", "the course catalog says", "catalog says", "handbook says")
+GROUNDED_COUNTS = ("unsupported_source_tag", "wrong_source_attribution", "grounded_abstention_fail", "clarification_missing", "fabricated_fact_pattern")
+
+
+def source_mentions(response: Column) -> Column:
+    """The sources that a response names, lower-cased: those in tags and those it says something of."""
+    low = F.lower(response)
+    tags = F.transform(F.regexp_extract_all(response, F.lit(r"(?i)\[source:\s*([^\]]+)\]"), F.lit(1)), lambda x: F.lower(T.squeeze(x)))
+    said = F.array_compact(F.array(*[F.when(T.contains_any([low], marks), label) for label, marks in SOURCE_MENTIONS.items()]))
+    return F.array_distinct(F.concat(tags, said))
+
+
+def grounded_sample(df: DataFrame, response: str = "response", mode: str = "expected_mode", allowed: str = "allowed_sources", forbidden: str = "forbidden_sources", requires: str = "requires_source") -> DataFrame:
+    """Adds the counts GROUNDED_COUNTS of each sample: tags without a source to cite or none where one is needed, sources that
+    are not allowed, answers where it should abstain, none of the questions it should ask, and facts it makes up."""
+    none = F.array().cast("array<string>")
+    df = df.withColumn("__r", T.squeeze(F.coalesce(response, F.lit(""))))
+    df = df.withColumns({"__m": source_mentions(F.col("__r")), "__ok": F.transform(F.coalesce(allowed, none), lambda x: F.lower(T.squeeze(x))), "__no": F.transform(F.coalesce(forbidden, none), lambda x: F.lower(T.squeeze(x)))})
+    low, said, kind, needs = F.lower("__r"), F.size("__m") > 0, F.lower(T.squeeze(F.coalesce(mode, F.lit("")))), F.coalesce(requires, F.lit(False))
+    has = F.size("__ok") > 0
+    wrong = (has & said & (F.size(F.array_except("__m", "__ok")) > 0)) | F.coalesce(F.arrays_overlap("__no", "__m"), F.lit(False))
+    silent = (kind == "abstain") & ~T.contains_any([low], SAMPLE_ABSTENTIONS)
+    asks = F.col("__r").contains("?") | T.contains_any([low], SAMPLE_CLARIFICATIONS)
+    n = lambda c: c.cast("int")
+    counts = {
+        "unsupported_source_tag": n(said & ~has & ~needs) + n(needs & ~said),
+        "wrong_source_attribution": n(wrong),
+        "grounded_abstention_fail": n(silent),
+        "clarification_missing": n((kind == "clarify") & ~asks),
+        "fabricated_fact_pattern": n(silent & said) + n(kind.isin("abstain", "clarify") & T.contains_any([low], FABRICATED) & said),
+    }
+    return df.withColumns({k: F.when(F.col("__r") == "", 0).otherwise(v) for k, v in counts.items()}).drop("__r", "__m", "__ok", "__no")
+
+
+def sample_behavior(scored: DataFrame, response: str = "response") -> DataFrame:
+    """One row over grounded samples: blank, refusing and repetitive ones, the sums of GROUNDED_COUNTS, whether they collapse
+    and what blocks a promotion."""
+    from textloom.plans.rules import ngram_signal
+
+    df = scored.withColumn("__t", F.lower(T.squeeze(F.coalesce(response, F.lit(""))))).withColumn("__w", T.split_words(F.col("__t")))
+    repetitive = (F.size("__w") >= 6) & (T.ratio(ngram_signal(F.col("__w"), 1)["max_count"], F.size("__w")) >= 0.35)
+    out = df.agg(
+        F.count_if(F.col("__t") == "").alias("blank"), F.count_if((F.col("__t") != "") & T.contains_any([F.col("__t")], SAMPLE_REFUSALS)).alias("generic_refusal"), F.count_if(repetitive).alias("repetitive"),
+        *[F.coalesce(F.sum(F.col(k).cast("long")), F.lit(0)).alias(k) for k in GROUNDED_COUNTS],
+    )
+    c = F.col
+    blockers = [
+        ("blank_sample_output", c("blank") > 0), ("generic_refusal_collapse", c("generic_refusal") > 0), ("repetitive_sample_collapse", c("repetitive") > 0),
+        ("unsupported_grounded_claims", (c("unsupported_source_tag") >= 2) | (c("fabricated_fact_pattern") >= 2)), ("grounded_abstention_failures", c("grounded_abstention_fail") > 0),
+        ("source_attribution_failures", c("wrong_source_attribution") > 0),
+    ]
+    collapse = (c("blank") > 0) | (c("generic_refusal") > 0) | (c("repetitive") >= 2) | (c("wrong_source_attribution") > 0) | (c("grounded_abstention_fail") > 0) | (c("unsupported_source_tag") >= 2)
+    return out.withColumn("collapse_detected", collapse).withColumn("blockers", F.array_compact(F.array(*[F.when(cond, name) for name, cond in blockers])))
+
+
+def counts_as_collapse(step: Column, steps_per_epoch: Column, behavior: DataFrame | None = None) -> Column:
+    """Whether a collapse counts towards stopping, over columns of sample_behavior: severe ones at once, failures to abstain
+    from half an epoch on, others always."""
+    c = F.col
+    severe = (c("blank") > 0) | (c("generic_refusal") > 0) | (c("repetitive") >= 2) | (c("wrong_source_attribution") > 0) | (c("unsupported_source_tag") >= 2)
+    warm = F.greatest(F.lit(1), F.ceil(F.greatest(steps_per_epoch, F.lit(1)) * 0.5))
+    return (step > 0) & c("collapse_detected") & (severe | F.when(c("grounded_abstention_fail") > 0, step >= warm).otherwise(F.lit(True)))
+
+
+def includes_samples(step: Column, final: Column, best_step: Column, every: int) -> Column:
+    return (step == 0) | final | (step == best_step) | (F.lit(every > 0) & (step > 0) & (F.pmod(step, F.lit(max(every, 1))) == 0))
+
+
+def size_blockers(train: Column, validation: Column, least_train: int, least_validation: int) -> Column:
+    small = [("dpo_train_dataset_too_small", F.lit(least_train > 0) & (train < least_train)), ("dpo_validation_dataset_too_small", F.lit(least_validation > 0) & (validation < least_validation))]
+    return F.array_compact(F.array(*[F.when(cond, name) for name, cond in small]))
+
+
+def lane_rollup(results: DataFrame, by: str = "lane", rates: Sequence[str] = ("exactness", "citation_rate", "abstention_rate"), weight: str = "examples") -> DataFrame:
+    """Rates of each lane over several results, weighted by examples."""
+    return results.groupBy(by).agg(F.sum(weight).alias(weight), *[(F.sum(F.col(r) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1))).alias(r) for r in rates])
+
+
+def retrieval_rates(totals: DataFrame) -> DataFrame:
+    """Adds the rates that a retrieval audit's totals give; null where nothing was asked."""
+    c = F.col
+    share = lambda n, d: F.when(c(d) > 0, n / c(d))
+    return totals.withColumns(
+        {
+            "router_trigger_rate": share(c("router_triggers"), "queries"), "retrieval_hit_rate": share(c("retrieval_hits"), "queries"),
+            "present_query_hit_rate": share(c("present_queries") - c("retrieval_false_negatives"), "present_queries"), "retrieval_false_negative_rate": share(c("retrieval_false_negatives"), "present_queries"),
+            "true_missing_rate": share(c("true_missing_answers"), "missing_queries"), "model_hallucination_after_no_hit_rate": share(c("model_hallucinations_after_no_hit"), "missing_queries"),
+        }
+    )
+
+
+def output_flags(prompt: Column, output: Column, hits: Column) -> Column:
+    """What is notable about a checkpoint's answer to a fixed prompt."""
+    from textloom.plans.rules import ngram_signal
+
+    low, asked = F.lower(output), F.lower(prompt)
+    missing = asked.contains("dean") & asked.contains("does not name")
+    prerequisite = asked.contains("prerequisite") & asked.contains("recommendation")
+    words = F.regexp_extract_all(low, F.lit("[A-Za-z0-9']+"), F.lit(0))
+    first = F.slice(F.regexp_extract_all(prompt, F.lit("[A-Za-z]{5,}"), F.lit(0)), 1, 3)
+    return F.struct(
+        (T.strip(output) == "").alias("blank"), output.rlike(r"(?i)\[(source|citation):").alias("fake_citation"),
+        (T.contains_any([low], ("does not contain enough information", "cannot answer")) & ~missing).alias("over_refusal"), (ngram_signal(words, 4)["max_count"] >= 3).alias("semantic_repetition"),
+        F.exists(first, lambda w: low.contains(F.lower(w))).alias("prompt_retention"), F.when(prerequisite, low.contains("required") & T.contains_any([low], ("suggested", "not required"))).alias("context_grounded"),
+        F.when(missing, T.contains_any([low], ("does not contain", "not name", "not enough"))).alias("missing_context_honesty"), (hits > 0).alias("retrieved_chunk_usage"),
+        (F.size(T.split_words(T.squeeze(output))) > 90).alias("copies_context_too_much"), T.contains_any([low], ("dean is", "deadline is", "phone number is")).alias("unsupported_fact_risk"),
+    )
+
+
+def family_ranking(losses: DataFrame, family: str = "family", loss: str = "loss") -> DataFrame:
+    """(family, loss, perplexity, windows, place): mean losses of holdout families, the best first."""
+    out = losses.groupBy(family).agg(F.round(F.avg(loss), 6).alias("loss"), F.round(perplexity(F.avg(loss)), 6).alias("perplexity"), F.count(F.lit(1)).alias("windows"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("loss", family)))  # a row per family
+
+
+def series(history: DataFrame, step: str, losses: Sequence[str], perplexities: Sequence[str]) -> DataFrame:
+    """(step, loss, perplexity): the first of some columns that is there; a perplexity that is not follows from the loss."""
+    loss = F.coalesce(*[F.col(x) for x in losses])
+    given = F.coalesce(*[F.col(x) for x in perplexities])
+    return history.select(F.col(step).alias("step"), loss.alias("loss"), F.coalesce(given, perplexity(loss, 13.8)).alias("perplexity")).filter("loss IS NOT NULL OR perplexity IS NOT NULL")
+
+
+def output_precision(key: Column) -> Column:
+    """Decimals that a value is shown with, by the last telling name of its key path (joined by dots)."""
+    names = F.reverse(F.split(F.lower(key), r"\."))
+    digits = F.transform(names, lambda n: F.when((n == "lr") | n.contains("learning_rate") | n.endswith("_lr"), 8).when(n.contains("loss"), 5).when(n.contains("margin"), 3))
+    return F.coalesce(F.try_element_at(F.array_compact(digits), F.lit(1)), F.lit(2))
+
+
+def rounded_output(value: Column, key: Column) -> Column:
+    """A value at its precision, half to even; minus zero is zero, and what is no finite number stays."""
+    digits = output_precision(key)
+    out = F.lit(None).cast("double")
+    for n in (2, 3, 5, 8):
+        out = F.when(digits == n, F.bround(value, n)).otherwise(out)
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(F.when(out == 0, 0.0).otherwise(out))
+
+
+def outcome_predicates(df: DataFrame) -> DataFrame:
+    """Adds generated, with_sources, weak, abstained, fallback and failed to output rows (text, response, status and rag as
+    structs, abstained, output_degenerate, final_label ...), whichever of the fields there are."""
+    known = {f.name: f.dataType for f in df.schema.fields}
+
+    def get(path: str, kind: str) -> Column:
+        head, _, tail = path.partition(".")
+        if head not in known or tail and tail not in getattr(known[head], "names", ()):
+            return F.lit(None).cast(kind)
+        return F.col(path).cast(kind)
+
+    flag = lambda *paths: F.coalesce(*[get(p, "boolean") for p in paths], F.lit(False))
+    either = lambda *paths: sum((flag(p).cast("int") for p in paths), F.lit(0)) > 0
+    text = F.coalesce(F.nullif(get("text", "string"), F.lit("")), get("response", "string"), F.lit(""))
+    count = F.coalesce(get("retrieved_hit_count", "int"), get("rag.retrieved_hits", "int"), F.lit(0))
+    abstained = either("status.abstained", "abstained") | F.lower(text).contains("does not contain enough information")
+    reasons = F.coalesce(F.size(get("quality_reasons", "array<string>")), F.lit(0)) > 0
+    weak = either("output_degenerate", "status.degenerate_output", "status.generation_failed") | reasons
+    label = F.lower(F.coalesce(get("final_label", "string"), get("status.final_label", "string"), F.lit("")))
+    fallback = either("fallback_triggered", "status.retrieved_context_fallback") | label.contains("fallback")
+    generated = (T.strip(text) != "") & ~abstained
+    attached = (count > 0) & F.coalesce(get("source_display_correct", "boolean"), F.lit(True))
+    return df.withColumns({"is_generated": generated, "with_sources": generated & attached, "is_weak": weak, "is_abstained": abstained, "is_fallback": fallback, "is_failed": flag("status.generation_failed") | fallback & weak})
+
+
+def outcome_counts(df: DataFrame) -> DataFrame:
+    """(outcome, n): how many rows show each outcome; a row may show several."""
+    names = {"Generated": "is_generated", "Generated with sources": "with_sources", "Weak generation": "is_weak", "Abstained": "is_abstained", "Generation failed": "is_failed"}
+    return funnel({k: F.col(v) for k, v in names.items()}, outcome_predicates(df)).select(F.col("stage").alias("outcome"), "n")
+
+
+def output_cases(parts: Sequence[tuple[str, DataFrame]], fields: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """(source, prompt, text, reasons) of output files of several shapes; fields gives each source's expressions for prompt,
+    text and reasons. Rows without a text are left out."""
+    union = None
+    for name, df in parts:
+        own = fields[name]
+        rows = df.select(F.lit(name).alias("source"), F.coalesce(F.expr(own["prompt"]), F.lit("prompt")).alias("prompt"), F.coalesce(F.expr(own["text"]), F.lit("")).alias("text"),
+                         F.coalesce(F.expr(own.get("reasons", "array()")).cast("array<string>"), F.array().cast("array<string>")).alias("reasons"))
+        rows = rows.filter("text <> ''")
+        union = rows if union is None else union.unionByName(rows)
+    return union
+
+
+def checkpoint_deltas(a: DataFrame, b: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Values of two evaluations side by side with their differences; what only one has is null in the other."""
+    left = a.select(*key, *[F.col(v).alias(f"{v}_a") for v in values])
+    right = b.select(*key, *[F.col(v).alias(f"{v}_b") for v in values])
+    met = left.join(right, list(key), "full")
+    return met.select(*key, *[c for v in values for c in (f"{v}_a", f"{v}_b")], *[(F.col(f"{v}_b") - F.col(f"{v}_a")).alias(f"{v}_delta") for v in values])
+
+
+def assistant_benchmark(scored: DataFrame, score: str = "score", threshold: str = "threshold", exact: str = "exact", cited: str = "cited") -> DataFrame:
+    """One row: examples, average score, the share that passes (its threshold, one by default), exact and citing shares."""
+    passes = (F.col(score) >= F.coalesce(threshold, F.lit(1.0))).cast("double")
+    share = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return scored.agg(F.count(F.lit(1)).alias("examples"), share(F.col(score)).alias("average_score"), share(passes).alias("pass_rate"), share(F.col(exact).cast("double")).alias("exact_rate"), share(F.col(cited).cast("double")).alias("citation_rate"))
+
+
+def fixed_prompt_rollup(df: DataFrame) -> DataFrame:
+    """One row over answers to fixed prompts (hits, output_degenerate, abstained, answered, grounded, fallback)."""
+    on = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return df.agg(F.count(F.lit(1)).alias("prompts"), on(F.col("hits") > 0).alias("with_hits"), *[on(F.col(c)).alias(c) for c in ("output_degenerate", "abstained", "answered", "grounded", "fallback")])
