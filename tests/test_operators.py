@@ -230,3 +230,11 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
         stream = incremental.distinct_documents(incremental.document_stream(spark, source, "doc_id long, text string"))
         incremental.run_available(stream, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 7 == rows(0, 20).select(T.document_hash(T.squeeze(F.col("text")))).distinct().count()
+
+
+def test_allocation_shares_out_what_targets_leave():
+    # The source without a target takes what is left once the others are full.
+    assert audit.allocate(100, {"a": 0.5, "b": 0.5, "c": 0.0}, {"a": 20.0, "b": 30.0, "c": 70.0}) == {"a": 20.0, "b": 30.0, "c": 50.0}
+    assert audit.allocate(100, {"a": 0.5, "b": 0.5, "c": 0.0}, {"a": 20.0, "b": 30.0, "c": 10.0})["c"] == 10.0
+    # Within a pass the second source sees what the first one left.
+    assert audit.allocate(100, {"a": 0.5, "b": 0.5}, {"a": 10.0, "b": 44.0}) == {"a": 10.0, "b": 44.0}

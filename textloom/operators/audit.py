@@ -165,6 +165,25 @@ def allocate(total: float, shares: Mapping[str, float], capacities: Mapping[str,
     return got
 
 
+def named_or_family(source: Column, family: Column, names: Sequence[str], families: Sequence[str]) -> Column:
+    """Whether a source is in a class, by its name or by its family."""
+    return source.isin(list(names)) | F.coalesce(family.isin(list(families)), F.lit(False))
+
+
+def captured_samples(judged: DataFrame, order: str, rejected: int = 10, accepted: int = 30) -> DataFrame:
+    """(source, kind, id): the first rejected rows of each source and reason, and accepted ones at even distances of their
+    rank in their source. The ranks of accepted rows run over ids only, one source at a time."""
+    by_reason = Window.partitionBy("source", "drop_reason").orderBy(order)
+    first = judged.filter("drop_reason IS NOT NULL").select("source", "drop_reason", order, F.row_number().over(by_reason).alias("n")).filter(F.col("n") <= rejected)
+    own = Window.partitionBy("source")
+    kept = judged.filter("drop_reason IS NULL").select("source", order, (F.row_number().over(own.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(own).alias("total"))
+    many = F.least(F.lit(accepted), F.col("total"))
+    step = (F.col("total") - 1) / F.greatest(many - 1, F.lit(1)).cast("double")
+    wanted = F.transform(F.sequence(F.lit(0), (many - 1).cast("int")), lambda j: F.bround(j * step, 0).cast("long"))
+    even = kept.filter(F.array_contains(wanted, F.col("i").cast("long")))
+    return first.select("source", F.col("drop_reason").alias("kind"), order).union(even.select("source", F.lit("accepted"), order))
+
+
 def pattern_examples(df: DataFrame, id_col: str, patterns: Mapping[str, Sequence[str]] = L.HIDDEN_PATTERNS, examples: int = 5, terms: int = 8, text: str = "text") -> DataFrame:
     """Per family of phrases: documents with any, and up to so many examples with the first matched terms."""
     low = F.lower(text)

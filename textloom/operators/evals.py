@@ -372,7 +372,7 @@ def series(history: DataFrame, step: str, losses: Sequence[str], perplexities: S
     """(step, loss, perplexity): the first of some columns that is there; a perplexity that is not follows from the loss."""
     loss = F.coalesce(*[F.col(x) for x in losses])
     given = F.coalesce(*[F.col(x) for x in perplexities])
-    return history.select(F.col(step).alias("step"), loss.alias("loss"), F.coalesce(given, perplexity(loss, 13.8)).alias("perplexity")).filter("loss IS NOT NULL OR perplexity IS NOT NULL")
+    return history.select(F.col(step).alias("step"), loss.alias("loss"), F.coalesce(given, F.when(loss.isNotNull(), perplexity(loss, 13.8))).alias("perplexity")).filter("loss IS NOT NULL OR perplexity IS NOT NULL")
 
 
 def output_precision(key: Column) -> Column:
@@ -454,3 +454,15 @@ def fixed_prompt_rollup(df: DataFrame) -> DataFrame:
     """One row over answers to fixed prompts (hits, output_degenerate, abstained, answered, grounded, fallback)."""
     on = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return df.agg(F.count(F.lit(1)).alias("prompts"), on(F.col("hits") > 0).alias("with_hits"), *[on(F.col(c)).alias(c) for c in ("output_degenerate", "abstained", "answered", "grounded", "fallback")])
+
+
+def low_loss_summary(events: DataFrame, names: Mapping[str, str], value: str, key: str, top: int) -> DataFrame:
+    """(kind, name, n): the top names of each kind by (-events, name), and the key of the least value of all and by tier."""
+    union = None
+    for kind, column in names.items():
+        counted = events.groupBy(F.col(column).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(top)
+        rows = counted.select(F.lit(kind).alias("kind"), "name", "n")
+        union = rows if union is None else union.unionByName(rows)
+    least = F.min_by(key, F.struct(value, key)).alias("n")
+    union = union.unionByName(events.agg(least).select(F.lit("least").alias("kind"), F.lit("all").alias("name"), "n"))
+    return union.unionByName(events.groupBy(F.col("tier").alias("name")).agg(least).select(F.lit("least").alias("kind"), "name", "n"))

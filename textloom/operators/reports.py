@@ -212,3 +212,22 @@ def preference_metrics(df: DataFrame, chosen: str, rejected: str, chosen_base: s
     """One row: loss, accuracy and margin from log-probabilities of the policy and of the reference."""
     margin = beta * ((F.col(chosen) - F.col(chosen_base)) - (F.col(rejected) - F.col(rejected_base)))
     return df.agg(F.avg(F.log1p(F.exp(-margin))).alias("loss"), F.avg((margin > 0).cast("double")).alias("accuracy"), F.avg(margin).alias("margin"))
+
+
+def console_lines(judged: DataFrame, top: int) -> DataFrame:
+    """(line): what a console shows of judged rows: kept rows by source and in all, and the most frequent rejects."""
+    kept = F.count_if(F.col("drop_reason").isNull()).cast("string")
+    of = F.concat(kept, F.lit(" kept of "), n_rows().cast("string"))
+    sources = judged.groupBy("source").agg(of.alias("x")).select(F.concat(F.lit("source "), "source", F.lit(": "), "x").alias("line"))
+    total = judged.agg(of.alias("x")).select(F.concat(F.lit("total: "), "x").alias("line"))
+    rejects = judged.filter("drop_reason IS NOT NULL").groupBy("drop_reason").agg(n_rows().alias("n")).orderBy(F.desc("n"), "drop_reason").limit(top)
+    return sources.union(total).union(rejects.select(F.concat(F.lit("reject "), "drop_reason", F.lit(": "), F.col("n").cast("string")).alias("line")))
+
+
+def first_counts(parts: Sequence[DataFrame]) -> DataFrame:
+    """The counts (reason, n) of the first part that has any."""
+    union = None
+    for k, p in enumerate(parts):
+        p = p.select("reason", "n", F.lit(k).alias("__k"))
+        union = p if union is None else union.unionByName(p)
+    return union.withColumn("__f", F.min("__k").over(Window.partitionBy(F.lit(1)))).filter("__k = __f").groupBy("reason").agg(F.sum("n").alias("n"))  # a row per reason

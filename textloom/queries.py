@@ -293,14 +293,6 @@ def holdout_windows(spark, sf_dir):
     return out.select("doc_id", "window", "n_tokens", F.md5(F.array_join("ids", " ")).alias("ids"))
 
 
-@query()
-def capacity_allocation(spark, sf_dir):
-    report = audit.source_report(prepared(spark, sf_dir)).select("source", "documents", "average_tokens").orderBy("source").collect()  # a row per source
-    caps = {r["source"]: audit.realizable(r["documents"], r["average_tokens"], 0.35) for r in report}
-    got = audit.allocate(200_000, {r["source"]: 1 / len(report) for r in report}, caps)
-    return spark.createDataFrame([(s, float(caps[s]), float(got[s])) for s in sorted(got)], "source string, capacity double, tokens double")
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents),
 i AS (SELECT DISTINCT CAST(round_even(j * (n - 1) / 29.0, 0) AS BIGINT) AS k FROM (SELECT DISTINCT n FROM r), range(0, 30) AS s(j)) SELECT doc_id, source FROM r JOIN i USING (k)""")
 def even_sample(spark, sf_dir):
@@ -534,12 +526,6 @@ def generation_quality(spark, sf_dir):
     return a.select(*names)
 
 
-@query()
-def generation_reasons(spark, sf_dir):
-    a = evals.generation_quality(table(spark, sf_dir, "conversations").filter(_ASSISTANT), "text")
-    return a.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"), "degenerate", "repeated_token_run")
-
-
 @query(f"""WITH a AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, coalesce(text, '') AS t FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, contains(low, 'the') AND contains(low, 'and') AS exact, round(greatest(0, (CASE WHEN contains(low, 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(low, 'and') THEN 0.5 ELSE 0 END)
   - CASE WHEN contains(low, 'idiot') THEN 1 ELSE 0 END - 0.5), 6)::DOUBLE AS score FROM a""")
