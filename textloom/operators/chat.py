@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.ranges import running
 from textloom.plans import lists as L
 
 ROLES = ("system", "user", "assistant")
@@ -118,17 +118,16 @@ def holdout_target(n: int, fraction: float, least: int = 1) -> int:
 def grouped_split(df: DataFrame, group: str, fraction: float, seed: int, least: int = 1) -> DataFrame:
     """Adds is_validation: whole groups in the order of a seeded hash until their rows reach the target, never all groups.
 
-    Sums run over group sizes only, one row per group.
+    Sums run over group sizes only, one row per group, in ordered ranges of them.
     """
-    target = holdout_target(df.count(), fraction, least)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    place = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), F.col(group)]
-    order = Window.orderBy(*place)
-    marked = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__rank", F.row_number().over(order))
-    groups = sizes.count()
-    if groups < 2:
+    total = df.count()
+    target = holdout_target(total, fraction, least)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))))
+    marked = running(sizes, ["__hash", group], "__n", "__before")
+    if marked.limit(2).count() < 2:
         raise ValueError("a grouped split needs two groups at least")
-    chosen = marked.select(group, ((F.col("__before") < target) & (F.col("__rank") < groups)).alias("is_validation"))
+    # The last group in order stays for training whatever the target.
+    chosen = marked.select(group, ((F.col("__before") < target) & (F.col("__before") + F.col("__n") < total)).alias("is_validation"))
     return df.join(chosen, group)
 
 
@@ -172,6 +171,3 @@ def preference_problems(df: DataFrame, tiers: tuple[str, ...], negatives: tuple[
     )
     return out.withColumn("template_share", T.ratio(F.col("templates"), F.col("rows"))).withColumn("passes", (F.col("bad_tier") + F.col("bad_negative") == 0) & (F.col("template_share") <= limit))
 
-
-def steps_for(n: int, per: int) -> int:
-    return math.ceil(n / per)

@@ -10,20 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.ranges import ranked, running
+
 
 def concatenated(df: DataFrame, sources: Sequence[str], order: str, source: str = "source") -> DataFrame:
     """Adds place: sources one after the other as given, each in order, as they stand where no source has a weight. Places
     come from the sizes of ordered ranges."""
-    from textloom.sources.sinks import with_shards
-
     number = F.lit(None).cast("int")
     for k, s in enumerate(sources):
         number = F.when(F.col(source) == s, k).otherwise(number)
-    ranked = with_shards(df.withColumn("__source_no", number).filter(F.col("__source_no").isNotNull()), ["__source_no", order], 1 << 40)
-    return ranked.withColumn("place", F.col("row_index")).drop("__source_no", "shard_index", "row_index")
+    own = df.withColumn("__source_no", number).filter(F.col("__source_no").isNotNull())
+    return ranked(own, ["__source_no", order], "place").drop("__source_no")
 
 
 def mask_of(ids: Column, pad) -> Column:
@@ -37,18 +37,21 @@ def closed_form_mix(df: DataFrame, shares: Mapping[str, float], order: str, toke
     share = F.lit(None).cast("double")
     for k, v in shares.items():
         share = F.when(F.col(source) == k, F.lit(float(v))).otherwise(share)
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.filter(F.col(source).isin(list(shares))).withColumn("share", share).withColumn("mix_key", F.coalesce(F.sum(tokens).over(before), F.lit(0)) / F.col("share"))
+    own = df.filter(F.col(source).isin(list(shares))).withColumn("share", share)
+    return running(own, [order], F.col(tokens).cast("long"), "__before", [source]).withColumn("mix_key", F.col("__before") / F.col("share")).drop("__before")
 
 
 def schedule(rows: pd.DataFrame, shares: Mapping[str, float], max_share: float = 1.0, budget: int = 0, repeat_cap: float = 0.0) -> pd.DataFrame:
-    """Deficit-greedy order over (source, record, n_tokens): the open source with the largest (target - realised,
+    """Deficit-greedy order over (source, record, n_tokens, and where there is one key): the open source with the largest (target - realised,
     -realised / target, target, -tokens) gives its next document. A source over max_share waits while another one below
     it is open, once budget tokens are out. A source that ends may begin again while repeats stay within repeat_cap of
-    its documents and its gap is worth an average document."""
+    its documents and its gap is worth an average document. A document whose key has been given out is passed over; a
+    source that has begun again may repeat its own, but not those that other sources gave first."""
     total_share = sum(shares.values())
     target = {s: w / total_share for s, w in shares.items()}
-    docs = {s: list(g.sort_values("record")[["record", "n_tokens"]].itertuples(index=False, name=None)) for s, g in rows.groupby("source") if s in target}
+    rows = rows if "key" in rows else rows.assign(key=None)
+    docs = {s: list(g.sort_values("record")[["record", "n_tokens", "key"]].itertuples(index=False, name=None)) for s, g in rows.groupby("source") if s in target}
+    owner: dict = {}
     at, epoch, got, repeats, kept = {s: 0 for s in docs}, {s: 0 for s in docs}, dict.fromkeys(docs, 0), dict.fromkeys(docs, 0), dict.fromkeys(docs, 0)
     out, total = [], 0
 
@@ -56,13 +59,19 @@ def schedule(rows: pd.DataFrame, shares: Mapping[str, float], max_share: float =
         if not repeat_cap or not docs[s]:
             return False
         room = int((repeat_cap * kept[s] - repeats[s]) / (1 - repeat_cap)) if repeat_cap < 1 else len(docs[s])
-        average = sum(n for _, n in docs[s]) / len(docs[s])
+        average = sum(d[1] for d in docs[s]) / len(docs[s])
         return min(room, len(docs[s])) >= 1 and target[s] * total - got[s] >= average
 
+    def pass_over(s: str) -> None:
+        while at[s] < len(docs[s]) and (key := docs[s][at[s]][2]) is not None and key in owner and not (epoch[s] and owner[key] == s):
+            at[s] += 1
+
     while True:
         for s in docs:
+            pass_over(s)
             if at[s] >= len(docs[s]) and may_restart(s):
                 at[s], epoch[s] = 0, epoch[s] + 1
+                pass_over(s)
         ready = [s for s in docs if at[s] < len(docs[s])]
         ready = [s for s in ready if not (epoch[s] and repeats[s] + 1 > repeat_cap * (kept[s] + 1))] if any(not epoch[s] for s in ready) else [s for s in ready if not epoch[s]]
         if not ready:
@@ -70,7 +79,8 @@ def schedule(rows: pd.DataFrame, shares: Mapping[str, float], max_share: float =
         under = [s for s in ready if not (total >= budget and total and got[s] / total > max_share and any(got[x] < got[s] for x in ready if x != s))]
         realised = lambda s: got[s] / total if total else 0.0
         s = max(under or ready, key=lambda s: (target[s] - realised(s), -realised(s) / target[s], target[s], -got[s]))
-        record, n = docs[s][at[s]]
+        record, n, key = docs[s][at[s]]
+        owner.setdefault(key, s)
         out.append((len(out), s, record, epoch[s], n))
         at[s] += 1
         got[s] += n
@@ -79,26 +89,17 @@ def schedule(rows: pd.DataFrame, shares: Mapping[str, float], max_share: float =
         repeats[s] += epoch[s] > 0
 
 
-def capped_mix(df: DataFrame, shares: Mapping[str, float], order: str, tokens: str = "n_tokens", source: str = "source", **caps) -> DataFrame:
+def capped_mix(df: DataFrame, shares: Mapping[str, float], order: str, tokens: str = "n_tokens", source: str = "source", key: str | None = None, **caps) -> DataFrame:
     """(mix_order, source, record, epoch, n_tokens) by schedule, in one task over the narrow table."""
-    narrow = df.filter(F.col(source).isin(list(shares))).select(F.col(source).alias("source"), F.col(order).cast("long").alias("record"), F.col(tokens).cast("long").alias("n_tokens"))
+    columns = [F.col(source).alias("source"), F.col(order).cast("long").alias("record"), F.col(tokens).cast("long").alias("n_tokens"), *([F.col(key).alias("key")] if key else [])]
+    narrow = df.filter(F.col(source).isin(list(shares))).select(*columns)
     schema = "mix_order long, source string, record long, epoch long, n_tokens long"
     return narrow.groupBy(F.lit(1).alias("one")).applyInPandas(lambda rows: schedule(rows, shares, **caps), schema)
 
 
 def budget_prefix(df: DataFrame, order: list[str], tokens: str, budget: int) -> DataFrame:
-    """The rows in order up to and with the one that reaches the budget: those whose predecessors stay below it.
-
-    The sums are taken per hash-free stretch of rows first: partitions are ranges of order, whose totals (one row each)
-    give every row its offset.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__part").agg(F.sum(tokens).alias("__sum"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = totals.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    placed = ranged.withColumn("__before", F.coalesce(F.sum(tokens).over(own), F.lit(0))).join(F.broadcast(offsets), "__part")
-    return placed.withColumn("tokens_before", F.col("__before") + F.col("__offset")).filter(F.col("tokens_before") < budget).drop("__part", "__before", "__offset")
+    """The rows in order up to and with the one that reaches the budget: those whose predecessors stay below it."""
+    return running(df, order, tokens, "tokens_before").filter(F.col("tokens_before") < budget)
 
 
 def next_fit(lengths: Iterator[tuple[object, int]], size: int) -> Iterator[tuple[int, int, object, int, int]]:
@@ -167,10 +168,9 @@ def labels_of(ids: Column, pad, ignore) -> Column:
 
 def even_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at even distances of their rank, the first and the last among them."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.orderBy(order)) - 1)
     total = df.count()
     wanted = sorted({round(i * (total - 1) / max(n - 1, 1)) for i in range(min(n, total))})
-    return ranked.filter(F.col("__rank").isin(wanted)).drop("__rank")
+    return ranked(df, [order], "__rank").filter(F.col("__rank").isin(wanted)).drop("__rank")
 
 
 def locate(row: Column, shard_rows: int) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.ranges import ranked
 from textloom.plans import lists as L
 
 #: Limits of the corpus gates; fixed values.
@@ -170,13 +171,15 @@ def examples_from_chunks(chunks: DataFrame, train: int, validation: int, risk: s
     for name, k in RISK.items():
         rank = F.when(F.lower("risk_level") == name, k).otherwise(rank)
     allowed = chunks.withColumn("__risk", rank).filter(F.lower("allowed_use").contains("rag") & (F.col("__risk") <= RISK[risk]) & (F.size(T.split_words(T.squeeze(F.col("text")))) >= 80))
-    place = allowed.select("chunk_id", (F.row_number().over(Window.orderBy("__risk", "source_file", "chunk_id")) - 1).alias("__i"))
-    split = F.when(F.col("__i") % 5 == 0, "validation").otherwise("train")
-    index = F.row_number().over(Window.partitionBy("split").orderBy("__i")) - 1
-    place = place.withColumn("split", split).withColumn("index", index)
+    place = ranked(allowed.select("chunk_id", "__risk", "source_file"), ["__risk", "source_file", "chunk_id"], "__i")
+    # Every fifth goes to validation, so a chunk's index in its split follows from its rank, and from that how many
+    # questions the chunks before it in the split give.
+    held = F.col("__i") % 5 == 0
+    index = F.when(held, F.floor(F.col("__i") / 5)).otherwise(F.col("__i") - F.floor(F.col("__i") / 5) - 1)
+    place = place.withColumn("split", F.when(held, "validation").otherwise("train")).withColumn("index", index)
     asks = F.concat(F.sequence(F.lit(0), F.lit(per_chunk - 1)), F.when(F.col("index") % 3 == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
     asked = place.select("chunk_id", "split", "index", F.posexplode(asks).alias("k", "template"))
-    number = F.row_number().over(Window.partitionBy("split").orderBy("index", "k")) - 1
+    number = F.col("index") * per_chunk + F.ceil(F.col("index") / 3) + F.col("k")
     asked = asked.withColumn("number", number).filter(F.col("number") < F.when(F.col("split") == "train", train).otherwise(validation))
     pick = lambda options, at: F.get(F.array(*map(F.lit, options)), F.pmod(at, F.lit(len(options))))
     missing = F.col("template") < 0

@@ -156,10 +156,9 @@ def seed_entries(packs: Sequence[DataFrame], key: Sequence[str] = ("url", "page_
 def with_record_index(df: DataFrame, order: Sequence[str], skip: int = 0, most: int | None = None) -> DataFrame:
     """Adds record_index, from one on inside the window of records from skip on, most of them. Places come from the sizes
     of ordered ranges."""
-    from textloom.sources.sinks import with_shards
+    from textloom.operators.ranges import ranked
 
-    ranked = with_shards(df, list(order), 1 << 40).withColumn("record_index", F.col("row_index") + 1 - skip).drop("shard_index", "row_index")
-    out = ranked.filter(F.col("record_index") >= 1)
+    out = ranked(df, list(order), "record_index").withColumn("record_index", F.col("record_index") + 1 - skip).filter(F.col("record_index") >= 1)
     return out if most is None else out.filter(F.col("record_index") <= most)
 
 

@@ -32,15 +32,11 @@ def fingerprint(config: Mapping) -> str:
 
 
 def with_shards(df: DataFrame, order: list[str], shard_rows: int) -> DataFrame:
-    """Adds shard_index and row_index by rank in order. Ranks come from the sizes of ordered ranges, so that no task
-    ranks all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    row = F.col("__own") + F.col("__offset")
-    placed = ranged.withColumn("__own", own).join(F.broadcast(offsets), "__part")
-    return placed.withColumns({"shard_index": F.floor(row / shard_rows).cast("long"), "row_index": F.pmod(row, F.lit(shard_rows)).cast("long")}).drop("__part", "__own", "__offset")
+    """Adds shard_index and row_index by rank in order."""
+    from textloom.operators.ranges import ranked
+
+    row = F.col("__row")
+    return ranked(df, order, "__row").withColumns({"shard_index": F.floor(row / shard_rows).cast("long"), "row_index": F.pmod(row, F.lit(shard_rows)).cast("long")}).drop("__row")
 
 
 def write_prepared(df: DataFrame, folder: str, kind: str, config: Mapping, shard_rows: int, tokens: str | None = None) -> dict:
