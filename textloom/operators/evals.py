@@ -466,3 +466,43 @@ def low_loss_summary(events: DataFrame, names: Mapping[str, str], value: str, ke
     least = F.min_by(key, F.struct(value, key)).alias("n")
     union = union.unionByName(events.agg(least).select(F.lit("least").alias("kind"), F.lit("all").alias("name"), "n"))
     return union.unionByName(events.groupBy(F.col("tier").alias("name")).agg(least).select(F.lit("least").alias("kind"), "name", "n"))
+
+
+#: Files that say whether an artifact may be promoted, in order, and the stages that a path may name. Fixed values.
+TRUST_FILES = ("artifact_trust", "stage_summary", "checkpoint_metadata")
+STAGES = ("pretrain", "continue", "sft", "dpo", "preference", "validation")
+
+
+def artifact_trust(rows: DataFrame) -> DataFrame:
+    """Adds artifact_status, promotion_eligible and source from the first of TRUST_FILES (JSON texts) that is there, with the
+    defaults for what it does not say; where none is, the artifact may be promoted."""
+    named = F.coalesce(*[F.when(F.col(f).isNotNull(), f) for f in TRUST_FILES])
+    text = F.coalesce(*[F.col(f) for f in TRUST_FILES])
+    get = lambda k: F.get_json_object(text, f"$.{k}")
+    return rows.withColumns(
+        {
+            "artifact_status": F.coalesce(get("artifact_status"), F.lit("promotable")), "run_health_status": F.coalesce(get("run_health_status"), F.lit("valid")),
+            "promotion_eligible": F.coalesce(get("promotion_eligible").cast("boolean"), named.isNull()), "source": F.coalesce(named, F.lit("")),
+        }
+    )
+
+
+def stage_of(path: Column) -> Column:
+    """The first part of a path that names a stage."""
+    return F.try_element_at(F.filter(F.split(path, "/"), lambda p: p.isin(*STAGES)), F.lit(1))
+
+
+def run_metrics(rows: DataFrame, by: str) -> DataFrame:
+    """A row per run over output rows: counts that are set side by side before and after, and the rates of a radar."""
+    reasons = F.coalesce(F.col("quality_reasons"), F.array().cast("array<string>")) if "quality_reasons" in rows.columns else F.array().cast("array<string>")
+    df = outcome_predicates(rows).withColumns({"__reasons": reasons, "__hits": F.coalesce("retrieved_hit_count", F.lit(0))})
+    attached = (F.col("__hits") > 0) & (F.coalesce("source_display_correct", F.lit(True)) if "source_display_correct" in rows.columns else F.lit(True))
+    on = F.count_if
+    c, total = F.col, F.count(F.lit(1))
+    named = lambda *names: F.sum(F.size(F.array_intersect("__reasons", F.array(*map(F.lit, names)))))
+    return df.groupBy(by).agg(
+        on(c("is_weak") & ~c("is_abstained")).alias("bad_outputs"), on(c("is_abstained")).alias("abstentions"), on(attached).alias("sources_surfaced"), on(c("is_weak")).alias("weak_outputs"), on((c("__hits") > 0) | c("is_abstained")).alias("grounded"),
+        F.greatest(F.lit(0.0), 1 - on(c("is_weak")) / total).alias("fluency"), F.greatest(F.lit(0.0), 1 - named("low_prompt_retention", "prompt_not_reflected") / total).alias("prompt_retention"), (on((c("__hits") > 0) | c("is_abstained")) / total).alias("grounding_support"),
+        F.coalesce(F.try_divide(on((c("__hits") == 0) & c("is_abstained")), on(c("__hits") == 0)), F.lit(0.0)).alias("abstention_honesty"), F.greatest(F.lit(0.0), 1 - named("repeated_phrase", "dominant_repeated_token") / total).alias("repetition_control"),
+        F.coalesce(F.try_divide(on(attached), on(c("__hits") > 0)), F.lit(0.0)).alias("source_surfacing"),
+    )

@@ -97,13 +97,6 @@ def planned_total(spark, sf_dir):
     return spark.createDataFrame([(chat.plan_total(available), sum(available.values()))], "planned long, available long")
 
 
-@query()
-def planned_quotas(spark, sf_dir):
-    available = {r["bucket"]: r["n"] for r in _buckets(spark, sf_dir).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per bucket
-    quotas = chat.plan_quotas(available, chat.plan_total(available))
-    return spark.createDataFrame([(b, available[b], quotas[b]) for b in sorted(available)], "bucket string, available long, quota long")
-
-
 _PREFERENCES = """SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'approved_template' WHEN 1 THEN 'human_reviewed' WHEN 2 THEN 'model_reviewed' WHEN 3 THEN 'unknown' END AS tier,
   CASE turn % 3 WHEN 0 THEN 'unsupported_claim' WHEN 1 THEN 'over_refusal' ELSE 'odd' END AS negative, text FROM conversations"""
 _TIERS, _NEGATIVES = ("approved_template", "human_reviewed", "model_reviewed"), ("unsupported_claim", "over_refusal")

@@ -56,27 +56,60 @@ def write_prepared(df: DataFrame, folder: str, kind: str, config: Mapping, shard
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict | None:
+    return _json(spark, f"{folder}/manifest")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _json(spark: SparkSession, folder: str) -> dict | None:
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.text(f"{folder}/manifest").collect()
+        rows = spark.read.text(folder).collect()
     except AnalysisException:
         return None
-    return json.loads("\n".join(r[0] for r in rows)) if rows else None
+    text = "\n".join(r[0] for r in rows).strip()
+    return json.loads(text) if text else None
+
+
+def save_progress(spark: SparkSession, folder: str, kind: str, config: Mapping, state: Mapping) -> None:
+    """Where a build stands (cursors, counts), so that another run goes on from there; in place of what was there."""
+    payload = {"kind": kind, "input_fingerprint": fingerprint(config), **state}
+    spark.createDataFrame([(json.dumps(payload),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/progress")
+
+
+def load_progress(spark: SparkSession, folder: str) -> dict | None:
+    return _json(spark, f"{folder}/progress")
 
 
 def resolve_target(spark: SparkSession, folder: str, kind: str, config: Mapping, force: bool = False) -> str:
-    """fresh, reuse or rebuild; another kind or another input in the same place is an error unless forced."""
-    manifest = read_manifest(spark, folder)
+    """fresh, reuse, resume or rebuild. Another kind or another input in the same place is an error unless forced, and so are
+    rows without a manifest or progress; an empty manifest is none."""
     if force:
         return "rebuild"
-    if manifest is None:
-        return "fresh"
-    if manifest["kind"] != kind:
-        raise ValueError(f"{folder} holds {manifest['kind']}, not {kind}")
-    if manifest["input_fingerprint"] != fingerprint(config):
-        raise ValueError(f"{folder} was prepared from another configuration")
-    return "reuse"
+
+    def check(found: dict) -> None:
+        if found.get("input_fingerprint") != fingerprint(config):
+            raise ValueError(f"{folder} was prepared from another configuration")
+        if found.get("kind") != kind:
+            raise ValueError(f"{folder} holds {found.get('kind')}, not {kind}")
+
+    manifest = read_manifest(spark, folder)
+    if manifest is not None:
+        check(manifest)
+        if problems := validate(spark, folder, kind):
+            raise ValueError("; ".join(problems))
+        return "reuse"
+    progress = load_progress(spark, folder)
+    if progress is not None:
+        check(progress)
+        return "resume"
+    if exists(spark, f"{folder}/rows"):
+        raise ValueError(f"{folder} holds rows without a manifest or progress")
+    return "fresh"
 
 
 def validate(spark: SparkSession, folder: str, kind: str) -> list[str]:
