@@ -78,6 +78,17 @@ def keep_reason(answer: Column, bucket: Column, label_tokens: Column) -> Column:
     )
 
 
+def targets_of(bucket: Column, targets: Mapping[str, tuple[float, float, int]] = L.BUCKET_TARGETS, default: str = "constructive_direct") -> Column:
+    """The row share, token share and least number of a bucket; a bucket that is not known has those of the default."""
+    def value(k: int) -> Column:
+        out = F.lit(targets[default][k])
+        for name, v in targets.items():
+            out = F.when(bucket == name, F.lit(v[k])).otherwise(out)
+        return out
+
+    return F.struct(value(0).alias("share"), value(1).alias("token_share"), value(2).alias("least"))
+
+
 def plan_total(available: Mapping[str, int], warmup: int = 40, targets: Mapping[str, tuple[float, float, int]] = L.BUCKET_TARGETS) -> int:
     """How many examples to take: all of few; else as many as the scarcest bucket that meets its minimum carries."""
     total = sum(available.values())

@@ -173,6 +173,20 @@ def asks_overview(question: Column, code: str = r"\b[A-Z]{2,4}\s?\d{3}\b") -> Co
     return T.contains_any(low, DEPARTMENTS) & T.contains_any(low, LISTINGS) & ~question.rlike(code)
 
 
+#: Words that ask about a time without saying which. Fixed values.
+TIMEFRAMES = ("this year", "next year", "last year", "current", "upcoming", "latest")
+
+
+def decide(question: Column, hits: Column, has_context: Column) -> Column:
+    """What to do with a question: answer from a context that came with it, ask for the year where the time is open, abstain
+    without hits, else answer with sources; and the label that is shown."""
+    low = F.lower(question)
+    open_time = T.contains_any([low], TIMEFRAMES) & ~low.rlike(r"20\d{2}")
+    kinds = (("answer_from_context", "Answered"), ("ask_timeframe", "Clarification needed"), ("abstain", "Not enough information"), ("answer_with_sources", "Answered with sources"))
+    pick = lambda k: F.when(has_context, kinds[0][k]).when(open_time, kinds[1][k]).when(hits == 0, kinds[2][k]).otherwise(kinds[3][k])
+    return F.struct(pick(0).alias("decision"), pick(1).alias("label"))
+
+
 def resolve(snapshots: DataFrame) -> DataFrame:
     """The one snapshot to read: current and completed, else the newest completed, else the newest."""
     order = [F.desc(F.col("current") & F.col("completed")), F.desc("completed"), F.desc("created_at"), F.desc("id")]
