@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import audit, chat, evals, mixing, retrieve, snapshots, web
+from textloom.operators import audit, chat, evals, mixing, ranges, retrieve, snapshots, web
 from textloom.sources import readers, sinks
 from textloom.streaming import incremental
 
@@ -228,7 +228,7 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
         if more is not None:
             more.write.mode("append").parquet(source)
         stream = incremental.distinct_documents(incremental.document_stream(spark, source, "doc_id long, text string"))
-        incremental.run_available(stream, out, state).awaitTermination()
+        incremental.run_available(stream, out, state, ["doc_id"]).awaitTermination()
     assert spark.read.parquet(out).count() == 7 == rows(0, 20).select(T.document_hash(T.squeeze(F.col("text")))).distinct().count()
 
 
@@ -238,3 +238,69 @@ def test_allocation_shares_out_what_targets_leave():
     assert audit.allocate(100, {"a": 0.5, "b": 0.5, "c": 0.0}, {"a": 20.0, "b": 30.0, "c": 10.0})["c"] == 10.0
     # Within a pass the second source sees what the first one left.
     assert audit.allocate(100, {"a": 0.5, "b": 0.5}, {"a": 10.0, "b": 44.0}) == {"a": 10.0, "b": 44.0}
+
+
+def test_running_sums_over_ranges(spark):
+    # A third of all rows share one key, and ties stand in their full order.
+    rows = [(i, 5 if i % 3 == 0 else i, i % 7, "g" if i % 2 else "h") for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, k long, v long, grp string")
+    got = {r.i: r.before for r in ranges.running(df, ["k", "i"], "v", "before").collect()}
+    expected, total = {}, 0
+    for i, k, v, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        expected[i], total = total, total + v
+    assert got == expected
+    own = {r.i: r.n for r in ranges.ranked(df, ["k", "i"], "n", ["grp"]).collect()}
+    for g in "gh":
+        order = sorted((k, i) for i, k, _, x in rows if x == g)
+        assert [own[i] for _, i in order] == list(range(len(order)))
+    assert ranges.ranked(df.limit(0), ["i"], "n").count() == 0
+
+
+def test_restarts_pass_over_what_other_sources_gave():
+    rows = pd.DataFrame([("a", 0, 10, "x"), ("a", 1, 10, "y"), ("b", 0, 10, "x"), ("b", 1, 10, "z"), ("b", 2, 10, "w"), ("b", 3, 10, "v"), ("b", 4, 10, "u")], columns=["source", "record", "n_tokens", "key"])
+    out = mixing.schedule(rows, {"a": 0.5, "b": 0.5}, repeat_cap=0.5)
+    given = out.merge(rows, on=["source", "record"])
+    # b's copy of x is never given, and only a, which ended first, repeats its own.
+    assert not ((given.source == "b") & (given.key == "x")).any()
+    assert set(given[given.epoch > 0].source) <= {"a"} and set(given.key) == set("xyzwvu")
+    plain = mixing.schedule(rows.drop(columns="key"), {"a": 0.5, "b": 0.5})
+    assert len(plain) == 7
+
+
+def test_capped_mix_against_plain_rules(spark):
+    """Every step of the mix is the one that the rules name, recomputed from what was given before."""
+    rng = random.Random(5)
+    rows = [(s, k, rng.randint(1, 40)) for s, n in (("a", 60), ("b", 25), ("c", 8)) for k in range(n)]
+    df = spark.createDataFrame(rows, "source string, record long, n_tokens long")
+    target = {"a": 0.2, "b": 0.5, "c": 0.3}
+    out = sorted(mixing.capped_mix(df, target, "record", max_share=0.6, budget=200).collect(), key=lambda r: r.mix_order)
+    assert sorted((r.source, r.record) for r in out) == sorted((s, k) for s, k, _ in rows)
+    left, got = {s: [k for x, k, _ in rows if x == s] for s in target}, dict.fromkeys(target, 0)
+    for r in out:
+        total = sum(got.values())
+        ready = [s for s in target if left[s]]
+        share = lambda s: got[s] / total if total else 0.0
+        free = [s for s in ready if not (total >= 200 and total and share(s) > 0.6 and any(got[x] < got[s] for x in ready if x != s))] or ready
+        assert r.source == max(free, key=lambda s: (target[s] - share(s), -share(s) / target[s], target[s], -got[s])) and r.record == left[r.source].pop(0)
+        got[r.source] += r.n_tokens
+
+
+def test_file_order_over_several_files(spark, tmp_path):
+    # The largest file comes last by name, so tasks read it first.
+    for name, n in (("a", 3), ("b", 5), ("c", 4000)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {k}\n" for k in range(n)))
+    spec = readers.SourceSpec("s", [str(tmp_path)], skip_records=2, max_records=8)
+    got = readers.read(spark, spec).orderBy(*readers.ORDER)
+    assert [r.text for r in got.collect()] == ["a 2", "b 0", "b 1", "b 2", "b 3", "b 4", "c 0", "c 1"]
+
+
+def test_targets_and_progress(spark, tmp_path):
+    folder, config = f"file://{tmp_path}/out", {"a": 1}
+    assert sinks.resolve_target(spark, folder, "sft", config) == "fresh"
+    sinks.save_progress(spark, folder, "sft", config, {"consumed": 5})
+    assert sinks.resolve_target(spark, folder, "sft", config) == "resume" and sinks.load_progress(spark, folder)["consumed"] == 5
+    with pytest.raises(ValueError):
+        sinks.resolve_target(spark, folder, "sft", {"a": 2})
+    rows = sinks.with_shards(spark.range(7).withColumnRenamed("id", "k"), ["k"], 3)
+    sinks.write_prepared(rows, folder, "sft", config, 3)
+    assert sinks.resolve_target(spark, folder, "sft", config) == "reuse" and sinks.read_prepared(spark, folder, "sft").count() == 7

@@ -173,18 +173,27 @@ def asks_overview(question: Column, code: str = r"\b[A-Z]{2,4}\s?\d{3}\b") -> Co
     return T.contains_any(low, DEPARTMENTS) & T.contains_any(low, LISTINGS) & ~question.rlike(code)
 
 
-#: Words that ask about a time without saying which. Fixed values.
-TIMEFRAMES = ("this year", "next year", "last year", "current", "upcoming", "latest")
+#: Words of a question that say it is about now. Fixed values.
+CURRENT_MARKERS = ("current", "currently", "now", "this year", "today")
 
 
-def decide(question: Column, hits: Column, has_context: Column) -> Column:
-    """What to do with a question: answer from a context that came with it, ask for the year where the time is open, abstain
-    without hits, else answer with sources; and the label that is shown."""
-    low = F.lower(question)
-    open_time = T.contains_any([low], TIMEFRAMES) & ~low.rlike(r"20\d{2}")
-    kinds = (("answer_from_context", "Answered"), ("ask_timeframe", "Clarification needed"), ("abstain", "Not enough information"), ("answer_with_sources", "Answered with sources"))
-    pick = lambda k: F.when(has_context, kinds[0][k]).when(open_time, kinds[1][k]).when(hits == 0, kinds[2][k]).otherwise(kinds[3][k])
-    return F.struct(pick(0).alias("decision"), pick(1).alias("label"))
+def ambiguous_time(question: Column) -> Column:
+    """Whether a question mixes now with a year that it names."""
+    return (F.size(school_years(question)) > 0) & T.contains_any([F.lower(question)], CURRENT_MARKERS)
+
+
+def decide(question: Column, grounded: Column, hits: Column, passages: Column, has_context: Column) -> Column:
+    """How a question is answered (path, label). grounded: its route looks something up; hits: what that found; passages: what
+    a passage search found, which is not asked where a context came with the question. Passages go before the lookup; a
+    lookup first asks back where the time is ambiguous, and abstains without hits."""
+    searched = ~has_context & (passages > 0)
+    looks_up = grounded & ~searched
+    path = (
+        F.when(looks_up & ambiguous_time(question), "timeframe_clarification_required").when(looks_up & (hits == 0), "deterministic_no_hit_fallback").when(looks_up, "grounded")
+        .when(searched, "retrieved_context").when(has_context, "manual_context").otherwise("model_only")
+    )
+    label = F.when(path.isin("timeframe_clarification_required", "deterministic_no_hit_fallback"), "Abstained").when(path.isin("grounded", "retrieved_context"), "Generated with sources").otherwise("Generated")
+    return F.struct(path.alias("path"), label.alias("label"))
 
 
 def resolve(snapshots: DataFrame) -> DataFrame:

@@ -48,7 +48,13 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # On one machine a table of texts may be one file of one row group, which a single task would read; its rows are dealt
+    # out over the cores. On a cluster tables are read as they are split.
+    sc = spark.sparkContext
+    if name in ("documents", "pages") and sc.master.startswith("local") and len(df.inputFiles()) < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
 
 
 def squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:

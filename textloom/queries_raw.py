@@ -101,13 +101,18 @@ def named_retrieval(spark, sf_dir):
 # --- decisions, samples ----------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, conv_id % 4 AS hits, conv_id % 6 = 0 AS manual FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN manual THEN 'answer_from_context' WHEN {any_of('low', snapshots.TIMEFRAMES)} AND NOT regexp_matches(low, '20\\d{{2}}') THEN 'ask_timeframe' WHEN hits = 0 THEN 'abstain' ELSE 'answer_with_sources' END AS decision,
-  CASE WHEN manual THEN 'Answered' WHEN {any_of('low', snapshots.TIMEFRAMES)} AND NOT regexp_matches(low, '20\\d{{2}}') THEN 'Clarification needed' WHEN hits = 0 THEN 'Not enough information' ELSE 'Answered with sources' END AS label FROM q""".replace("\\\\", "\\"))
+_QUESTION = "coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' in 2021-22' ELSE '' END || CASE conv_id % 2 WHEN 0 THEN ' right now' ELSE '' END"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower({_QUESTION}) AS low, conv_id % 4 AS hits, conv_id % 7 = 0 AS passages, conv_id % 6 = 0 AS manual, conv_id % 5 <> 0 AS grounded FROM conversations WHERE role = 'user'),
+p AS (SELECT *, grounded AND NOT (passages AND NOT manual) AS looks, regexp_matches(low, '\\b20\\d{{2}}\\s*[-–—/]\\s*(?:20\\d{{2}}|\\d{{2}})\\b') AND {any_of('low', snapshots.CURRENT_MARKERS)} AS mixed FROM q),
+d AS (SELECT conv_id, turn, CASE WHEN looks AND mixed THEN 'timeframe_clarification_required' WHEN looks AND hits = 0 THEN 'deterministic_no_hit_fallback' WHEN looks THEN 'grounded' WHEN passages AND NOT manual THEN 'retrieved_context' WHEN manual THEN 'manual_context' ELSE 'model_only' END AS path FROM p)
+SELECT conv_id, turn, path, CASE WHEN path IN ('timeframe_clarification_required', 'deterministic_no_hit_fallback') THEN 'Abstained' WHEN path IN ('grounded', 'retrieved_context') THEN 'Generated with sources' ELSE 'Generated' END AS label FROM d""".replace("\\\\", "\\"))
 def grounded_decisions(spark, sf_dir):
     n = F.col("conv_id")
-    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), (n % 4).alias("hits"), (n % 6 == 0).alias("has_context"))
-    return q.select("conv_id", "turn", F.inline(F.array(snapshots.decide(F.col("question"), F.col("hits"), F.col("has_context")))))
+    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.expr(_QUESTION).alias("question"))
+    decided = snapshots.decide(F.col("question"), n % 5 != 0, n % 4, F.when(n % 7 == 0, 1).otherwise(0), n % 6 == 0)
+    return q.select("conv_id", "turn", F.inline(F.array(decided)))
 
 
 @query(f"""{SQUEEZED}, w AS (SELECT doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''), x AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 256 + 1)) AS k FROM w), y AS (SELECT doc_id, k, w[k * 256 + 1 : k * 256 + 256] AS p, row_number() OVER (ORDER BY doc_id, k) - 1 AS row, count(*) OVER () AS n FROM x),
