@@ -73,3 +73,28 @@ def test_library_stands_without_this_package(tmp_path):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def odd_documents(spark):
+    """Nulls in every column, blank and very long texts, repeated rows and ids, and columns named like the operators' own."""
+    texts = [None, "", " \t", "a b c", "a  b\tc", "a b c", "plain words of no interest " * 30, "x" * 50_000, "word " * 30_000, "é ü 漢字", "one two three four five six seven eight nine ten eleven"]
+    rows = [(i if i != 3 else None, t, "en" if i % 2 else None, None if i % 3 else "s", i, 1, 2.0, "m", None, "k") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (5, "another text of the same id", "en", "s", 1, 1, 2.0, "m", None, "k")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, id int, t double, mark string, fp string, kept_n string")
+
+
+def test_stages_on_odd_and_empty_input(spark):
+    docs = odd_documents(spark)
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.schema == docs.schema or out.columns == docs.columns
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert all(given.count(x) >= kept.count(x) > 0 for x in kept)
+        if name == "exact_dedup":
+            assert len(kept) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in given})
+        if name in ("toxicity", "decontamination"):  # clean documents stay, repeated ones with all their rows
+            assert len(kept) == len(given)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    packed = corpus_pipeline.packing(spark, docs, DATA)
+    assert {r.doc_id for r in packed.collect()} == {i for i, t in given if (t or "").split()} and corpus_pipeline.packing(spark, docs.limit(0), DATA).count() == 0

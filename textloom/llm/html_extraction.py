@@ -42,7 +42,6 @@ _INLINE = {
 #: Elements whose content is no text of the page: what they hold is not read.
 _UNREAD = {"head", "button", "select", "option", "datalist", "audio", "video", "input"} | _RAW
 _FOREIGN = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end when one of the given kinds begins.
 _P_ENDERS = {
     "p", "div", "article", "section", "nav", "footer", "header", "aside", "main", "ul", "ol", "dl", "table", "form", "h1", "h2", "h3", "h4", "h5", "h6",
