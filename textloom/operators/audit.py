@@ -172,11 +172,13 @@ def named_or_family(source: Column, family: Column, names: Sequence[str], famili
 
 def captured_samples(judged: DataFrame, order: str, rejected: int = 10, accepted: int = 30) -> DataFrame:
     """(source, kind, id): the first rejected rows of each source and reason, and accepted ones at even distances of their
-    rank in their source. The ranks of accepted rows run over ids only, one source at a time."""
+    rank in their source. Ranks come from ordered ranges of ids, so a source of very many rows is no task of its own."""
+    from textloom.operators.ranges import ranked
+
     by_reason = Window.partitionBy("source", "drop_reason").orderBy(order)
     first = judged.filter("drop_reason IS NOT NULL").select("source", "drop_reason", order, F.row_number().over(by_reason).alias("n")).filter(F.col("n") <= rejected)
-    own = Window.partitionBy("source")
-    kept = judged.filter("drop_reason IS NULL").select("source", order, (F.row_number().over(own.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(own).alias("total"))
+    kept = ranked(judged.filter("drop_reason IS NULL").select("source", order), [order], "i", ["source"])
+    kept = kept.join(kept.groupBy("source").agg(F.count(F.lit(1)).alias("total")), "source")
     many = F.least(F.lit(accepted), F.col("total"))
     step = (F.col("total") - 1) / F.greatest(many - 1, F.lit(1)).cast("double")
     wanted = F.transform(F.sequence(F.lit(0), (many - 1).cast("int")), lambda j: F.bround(j * step, 0).cast("long"))

@@ -211,10 +211,10 @@ def swing(n: Column) -> Column:
     return F.struct((1 / F.greatest(n, F.lit(1))).alias("per_example"), (n < 8).alias("few"))
 
 
-def preference_metrics(df: DataFrame, chosen: str, rejected: str, chosen_base: str, rejected_base: str, beta: float = 0.1) -> DataFrame:
-    """One row: loss, accuracy and margin from log-probabilities of the policy and of the reference."""
+def preference_metrics(df: DataFrame, chosen: str, rejected: str, chosen_base: str, rejected_base: str, beta: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one by group: loss, accuracy and margin from log-probabilities of the policy and of the reference."""
     margin = beta * ((F.col(chosen) - F.col(chosen_base)) - (F.col(rejected) - F.col(rejected_base)))
-    return df.agg(F.avg(F.log1p(F.exp(-margin))).alias("loss"), F.avg((margin > 0).cast("double")).alias("accuracy"), F.avg(margin).alias("margin"))
+    return df.groupBy(*by).agg(F.avg(F.log1p(F.exp(-margin))).alias("loss"), F.avg((margin > 0).cast("double")).alias("accuracy"), F.avg(margin).alias("margin"))
 
 
 def console_lines(judged: DataFrame, top: int) -> DataFrame:

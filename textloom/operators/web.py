@@ -121,8 +121,10 @@ def page_type(url: Column, policies: Sequence[tuple[str, str]] = (), explicit: C
 
 def policy_types(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """pages with the page_type of the first rule (rule_no, contains, page_type) whose text is in the address; null without
-    one. The rules are a configuration, a few rows."""
-    met = pages.select(id_col, "url").join(F.broadcast(rules.limit(MAX_RULES)), F.lower("url").contains(F.col("contains")))
+    one. The rules are a configuration and are broadcast; more than MAX_RULES are an error."""
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    met = pages.select(id_col, "url").join(F.broadcast(rules), F.lower("url").contains(F.col("contains")))
     first = met.groupBy(id_col).agg(F.min_by("page_type", "rule_no").alias("page_type"))
     return pages.join(first, id_col, "left")
 

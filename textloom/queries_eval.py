@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import audit, chat, evals, mixing, reports
-from textloom.queries import _ASSISTANT, _conversations, _counted, _lanes, PREPARED, ROLLUP_SQL, SQUEEZE, SQUEEZED, TIERS, WORDS, prepared, query, squeezed, table
-from textloom.queries_rules import GATE_SQL, any_of, quoted
+from textloom.operators import audit, evals, reports
+from textloom.queries import _ASSISTANT, _lanes, PREPARED, ROLLUP_SQL, SQUEEZE, SQUEEZED, TIERS, prepared, query, squeezed, table
+from textloom.queries_rules import any_of, quoted
 
 # --- generated samples -----------------------------------------------------------------------------------------------
 
 _NORM = r"list_transform(raw, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g'))"
-_GRAM = lambda n: f"(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(range(1, len(w) - {n} + 2)) AS i) GROUP BY array_to_string(w[i : i + {n} - 1], ' ')))"
 REASONS_SQL = rf"""WITH a AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '^[\s]+|[\s]+$', '', 'g')) AS t FROM conversations WHERE role = 'assistant'),
 r AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS raw, regexp_replace(t, '\s+', '', 'g') AS s FROM a),
 n AS (SELECT *, {_NORM} AS norm, list_filter({_NORM}, lambda x: x <> '') AS w FROM r),
@@ -69,9 +68,6 @@ def grounded_samples(spark, sf_dir):
     return _samples(spark, sf_dir).select("conv_id", "turn", *evals.GROUNDED_COUNTS)
 
 
-_ONE_WORD = "(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(w) AS x) GROUP BY x))"
-
-
 @query(f"""{GROUNDED_SQL}, w AS (SELECT *, CASE WHEN low = '' THEN [] ELSE string_split(low, ' ') END AS w FROM k), f AS (SELECT conv_id, turn, max(c) AS m FROM (SELECT conv_id, turn, x, count(*) AS c FROM (SELECT conv_id, turn, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY ALL),
 b AS (SELECT count(*) FILTER (low = '') AS blank, count(*) FILTER (low <> '' AND {any_of('low', evals.SAMPLE_REFUSALS)}) AS generic_refusal, count(*) FILTER (len(w) >= 6 AND coalesce(m, 0) / greatest(len(w), 1) >= 0.35) AS repetitive,
   {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in evals.GROUNDED_COUNTS)} FROM w LEFT JOIN f USING (conv_id, turn))
@@ -198,11 +194,7 @@ def holdout_ranking(spark, sf_dir):
 @query("""WITH m AS (SELECT user_id % 10 AS run, 0.1 * ((value / 10 - 1) - (event_id % 7 / 7.0 - 1)) AS m FROM events) SELECT run, round(avg(ln(1 + exp(-m))), 6) AS loss, round(avg(CAST(m > 0 AS INT)), 6) AS accuracy, round(avg(m), 6) AS margin FROM m GROUP BY run""")
 def preference_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run"), (F.col("value") / 10).alias("c"), (F.col("event_id") % 7 / 7.0).alias("r"), F.lit(1.0).alias("cb"), F.lit(1.0).alias("rb"))
-    out = None
-    for run in range(10):  # the operator gives one row; ten runs
-        one = reports.preference_metrics(e.filter(F.col("run") == run), "c", "r", "cb", "rb").select(F.lit(run).cast("long").alias("run"), *[F.round(x, 6).alias(x) for x in ("loss", "accuracy", "margin")])
-        out = one if out is None else out.union(one)
-    return out
+    return reports.preference_metrics(e, "c", "r", "cb", "rb", by=["run"]).select("run", *[F.round(x, 6).alias(x) for x in ("loss", "accuracy", "margin")])
 
 
 @query("""WITH s AS (SELECT event_id AS step, CASE WHEN event_id % 3 = 0 THEN value END AS a, CASE WHEN event_id % 2 = 0 THEN value / 2 END AS b, CASE WHEN event_id % 5 = 0 THEN value * 2 END AS p FROM events)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import chat, mixing, rawlm, retrieve, snapshots
 from textloom.operators import tokenize as tk
-from textloom.queries import _ASSISTANT, _chunks, RETRIEVE_SQL, SQUEEZE, SQUEEZED, query, squeezed, table
+from textloom.queries import _ASSISTANT, _chunks, RETRIEVE_SQL, SQUEEZED, query, squeezed, table
 from textloom.queries_rules import any_of, hits_of, number_of, quoted
 from textloom.queries_web import _NAMED_SQL
 

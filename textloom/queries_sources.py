@@ -7,7 +7,6 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.operators import typed
 from textloom.queries import _conversations, SQUEEZE, SQUEEZED, query, squeezed, table
 from textloom.sources import readers

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
-from textloom.operators import audit, chat, evals, mixing, rawlm, retrieve
+from textloom.operators import audit, chat, evals, rawlm, retrieve
 from textloom.plans import lists as L
 from textloom.plans import stages
-from textloom.queries import _buckets, _chunks, _conversations, _counted, BUCKETS_SQL, CHUNKS_SQL, INDEX_SQL, PREPARED, SCRUB, SIGNATURE, SQUEEZE, WORDS, prepared, query, squeezed, table
+from textloom.queries import _buckets, _chunks, _conversations, BUCKETS_SQL, INDEX_SQL, PREPARED, SCRUB, SIGNATURE, WORDS, prepared, query, table
 from textloom.queries_chat import TOKENS_OF
 from textloom.queries_rules import _ARTIFACTS, _PHRASES, quoted
 from textloom.sources import sinks
@@ -193,9 +191,6 @@ def rag_export(spark, sf_dir):
     return written.join(stored, "chunk_id").select("chunk_id", "sha256", "word_count", "length", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("terms"))
 
 
-_TRUST = """SELECT page_id, page_id % 4 AS k FROM pages"""
-
-
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'dev_only' ELSE 'promotable' END AS artifact_status, page_id % 4 = 3 AS promotion_eligible, CASE page_id % 4 WHEN 3 THEN '' WHEN 0 THEN 'artifact_trust' WHEN 1 THEN 'stage_summary' ELSE 'checkpoint_metadata' END AS source,
   CASE page_id % 3 WHEN 0 THEN 'sft' WHEN 1 THEN 'pretrain' END AS stage FROM pages""")
 def artifact_trust(spark, sf_dir):

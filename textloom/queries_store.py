@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.operators import snapshots, typed, web
-from textloom.queries import _LINE, _TOKENS, SQUEEZE, query, table
-from textloom.queries_rules import any_of, quoted
-from textloom.queries_web import DOCUMENTS_SQL, LINE_CHUNKS_SQL, TITLE
+from textloom.queries import _TOKENS, query, table
+from textloom.queries_rules import any_of
+from textloom.queries_web import LINE_CHUNKS_SQL, TITLE
 from textloom.sources import sinks
 
 # --- tables ----------------------------------------------------------------------------------------------------------

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import clean, retrieve, typed, web
+from textloom.operators import retrieve, typed, web
 from textloom.plans import lists as L
-from textloom.queries import _LINE, _TAGLESS, _TYPE_SQL, _UNESCAPE, _chunks, CHUNKS_SQL, RETRIEVE_SQL, SQUEEZED, TERMS_SQL, _hits, query, squeezed, table
-from textloom.queries_rules import URLS, hits_of, number_of, quoted
+from textloom.queries import _LINE, _TAGLESS, _UNESCAPE, _chunks, RETRIEVE_SQL, SQUEEZED, TERMS_SQL, _hits, query, squeezed, table
+from textloom.queries_rules import URLS, hits_of, number_of
 
 # --- chunks ----------------------------------------------------------------------------------------------------------
 
