@@ -25,11 +25,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(read(spark, sf_dir, "documents"))
+    return scan_secrets(read(spark, sf_dir, "documents", by_row=True))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(read(spark, sf_dir, "pages"))
+    return extract_main_text(read(spark, sf_dir, "pages", by_row=True))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +37,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).hint("rebalance")
+    return toxicity(read(spark, sf_dir, "documents", by_row=True), read(spark, sf_dir, "labels")).hint("rebalance")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate(read(spark, sf_dir, "documents", by_row=True), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -50,15 +50,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal_data(read(spark, sf_dir, "documents"))
+    return find_personal_data(read(spark, sf_dir, "documents", by_row=True))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality(read(spark, sf_dir, "documents", by_row=True), read(spark, sf_dir, "labels"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(read(spark, sf_dir, "documents"))
+    return simhash_components(read(spark, sf_dir, "documents", by_row=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,7 +7,6 @@ and the forest is MLlib's.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,11 +14,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import cut
+
 CONTEXT = 48
 THRESHOLD = 0.5
 TREES, DEPTH = 32, 10
 #: Labelled findings that the default forest is trained on.
-FINDINGS = 6000
+FINDINGS, FINDING_PARTS = 6000, 4
 #: Hits of one text whose places are summed in one fold.
 FOLD = 512
 #: The default dictionary: words that names, placeholders and examples are made of. A parameter of the scan.
@@ -141,17 +142,22 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, start: int = 0)
     """
     n = (F.col("id") + F.lit(start)).cast("string")
     key = lambda k: F.concat(F.lit(k), n)
-    pick = lambda k, options: F.get(F.array(*map(F.lit, options)), F.pmod(F.crc32(key(k).cast("binary")), F.lit(len(options))).cast("int"))
-    hexes = F.sha2(key("h"), 256)
-    caps = F.upper(F.translate(F.sha2(key("c"), 256), "0123456789", "GKPQRS4567"))
-    mixed = F.translate(F.base64(F.unhex(F.sha2(key("m"), 512))), "+/=\r\n", "xYz")
-    letters = F.translate(F.sha2(key("l"), 256), "0123456789", "ghijklmnop")
-    number = F.conv(F.substring(hexes, 1, 12), 16, 10)
+    drawn = ("a", "b", "c", "d", "e", "k", "kind", "name", "p", "r", "s", "v", "wrong", "x", "y")
+    # The numbers and strings that findings are made of are written first; an expression over all of it is too large to compile.
+    base = cut(
+        spark.range(0, rows, 1, FINDING_PARTS).select(
+            *[F.crc32(key(k).cast("binary")).alias(k) for k in drawn], F.sha2(key("h"), 256).alias("hexes"), F.upper(F.translate(F.sha2(key("c"), 256), "0123456789", "GKPQRS4567")).alias("caps"),
+            F.translate(F.base64(F.unhex(F.sha2(key("m"), 512))), "+/=\r\n", "xYz").alias("mixed"), F.translate(F.sha2(key("l"), 256), "0123456789", "ghijklmnop").alias("letters"),
+            F.conv(F.substring(F.sha2(key("h"), 256), 1, 12), 16, 10).alias("number"),
+        )
+    )
+    hexes, caps, mixed, letters, number = (F.col(x) for x in ("hexes", "caps", "mixed", "letters", "number"))
+    pick = lambda k, options: F.get(F.split(F.lit("\x01".join(options)), "\x01"), F.pmod(F.col(k), F.lit(len(options))).cast("int"))
     word = lambda k: pick(k, WORDS)
     title = lambda k: F.initcap(word(k))
     name = pick("name", ["password=", 'token = "', "secret: ", 'api_key="', "passwd=", "access_key=", "auth: "])
     named = lambda value: F.concat(name, value, F.when(name.endswith('"'), '"').otherwise(""))
-    short = lambda value, least, most: F.left(value, F.lit(least) + F.pmod(F.crc32(key("s").cast("binary")), F.lit(most - least + 1)).cast("int"))
+    short = lambda value, least, most: F.left(value, F.lit(least) + F.pmod(F.col("s"), F.lit(most - least + 1)).cast("int"))
     plain = F.concat(F.left(letters, F.lit(5)), F.lit(" "), F.substring(letters, 7, 4), F.lit(" "))
     about = lambda k, *words: F.concat(F.substring(letters, 9, 4), F.lit(" "), pick(k, words), F.lit(" "))
     example = about("a", "example", "sample", "dummy", "your", "e.g", "replace")
@@ -193,18 +199,18 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, start: int = 0)
         (short(hexes, 32, 64), digest, any_path, 0),
         (short(hexes, 32, 40), plain, any_path, 0),
     ]
-    # Each number is of one kind; each kind is a small table, as one expression over all of them is too large to compile.
-    kind = F.pmod(F.crc32(key("kind").cast("binary")), F.lit(len(made)))
-    wrong = F.pmod(F.crc32(key("wrong").cast("binary")), F.lit(50)) == 0
-    parts = []
-    for k, (found, before, path, label) in enumerate(made):
-        own = spark.range(0, rows, 1, 1).filter(kind == k)
-        parts.append(own.select(found.alias("found"), path.alias("path"), before.alias("before"), plain.alias("after"), F.when(wrong, 1.0 - label).otherwise(float(label)).alias("label")))
-    return reduce(DataFrame.union, parts)
+    kind, wrong = F.pmod(F.col("kind"), F.lit(len(made))), F.pmod(F.col("wrong"), F.lit(50)) == 0
+    found, path, before, label = (F.lit(None) for _ in range(4))
+    for k, (f, b, p, y) in enumerate(made):
+        here = kind == k
+        found, before, path, label = F.when(here, f).otherwise(found), F.when(here, b).otherwise(before), F.when(here, p).otherwise(path), F.when(here, float(y)).otherwise(label)
+    return base.select(found.alias("found"), path.alias("path"), before.alias("before"), plain.alias("after"), F.when(wrong, 1.0 - label).otherwise(label).alias("label"))
 
 
 def train_forest(findings: DataFrame, seed: int = 5, words: Sequence[str] = WORDS) -> RandomForestClassificationModel:
     """A forest over FEATURES of labelled findings (found, path, before, after, label 1 for a true secret)."""
+    # Written once: features of a union would be compiled anew for each of its parts, and a forest reads its rows several times.
+    findings = cut(findings.select("found", "path", "before", "after", "label").coalesce(FINDING_PARTS))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings, words).fillna(0.0, FEATURES))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="0.6").fit(rows.select("features", "label"))
 
