@@ -66,9 +66,13 @@ def literal_pattern(term: str) -> str:
 
 
 def count_terms(lowered: Column, terms: Sequence[str]) -> Column:
-    """Non-overlapping whole-word occurrences of any term; a space in a term stands for any white space."""
+    """Non-overlapping whole-word occurrences of any term; a space in a term stands for any white space.
+
+    The pattern runs only over texts that hold a term's first word at all: finding that takes a fraction of its time.
+    """
     alternatives = "|".join(r"\b" + r"\s+".join(map(literal_pattern, t.lower().split())) + r"\b" for t in terms)
-    return F.regexp_count(lowered, F.lit(f"(?U)(?:{alternatives})"))
+    heads = sorted({t.lower().split()[0] for t in terms})
+    return F.when(contains_any([lowered], heads), F.regexp_count(lowered, F.lit(f"(?U)(?:{alternatives})"))).otherwise(0)
 
 
 def contains_any(texts: Sequence[Column], phrases: Sequence[str]) -> Column:
