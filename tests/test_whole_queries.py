@@ -153,3 +153,8 @@ def test_line_chunks_of_pages_that_share_an_address(spark, tmp_path):
 def test_carried_documents_that_share_an_address(spark, tmp_path):
     got, expected = shared_addresses(spark, tmp_path)("carried_documents")
     assert got == expected and len(got) == 9
+
+
+def test_family_metrics_of_pages_that_share_an_address(spark, tmp_path):
+    got, expected = shared_addresses(spark, tmp_path)("family_metrics")
+    assert got == expected and len(got) == 2
