@@ -158,3 +158,8 @@ def test_carried_documents_that_share_an_address(spark, tmp_path):
 def test_family_metrics_of_pages_that_share_an_address(spark, tmp_path):
     got, expected = shared_addresses(spark, tmp_path)("family_metrics")
     assert got == expected and len(got) == 2
+
+
+def test_snapshot_sync_of_pages_that_share_an_address(spark, tmp_path):
+    got, expected = shared_addresses(spark, tmp_path)("snapshot_sync")
+    assert got == expected and len(got) == 3

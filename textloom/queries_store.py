@@ -110,8 +110,9 @@ def snapshot_sync(spark, sf_dir):
         return documents, web.chunks_of(documents)
 
     p = table(spark, sf_dir, "pages")
-    # The old snapshot holds every other page; one family is ingested anew.
-    documents, chunks = snapshots.sync(ingest(p, "s2"), ingest(p.filter("page_id % 2 = 0"), "s1"), "s1", "s2", ["athletics"], ["athletics", "faculty", "handbook"])
+    # The old snapshot holds every other page, and the chunks of its addresses; one family is ingested anew.
+    old, parts = ingest(p, "s1")
+    documents, chunks = snapshots.sync(ingest(p, "s2"), (old.filter("page_id % 2 = 0"), parts), "s1", "s2", ["athletics"], ["athletics", "faculty", "handbook"])
     counted = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("c"))
     return documents.join(counted, "id", "left").groupBy("family").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("chunks"))
 
