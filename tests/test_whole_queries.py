@@ -163,3 +163,17 @@ def test_family_metrics_of_pages_that_share_an_address(spark, tmp_path):
 def test_snapshot_sync_of_pages_that_share_an_address(spark, tmp_path):
     got, expected = shared_addresses(spark, tmp_path)("snapshot_sync")
     assert got == expected and len(got) == 3
+
+
+def test_benchmark_scores_of_repeated_and_cited_texts(spark, tmp_path):
+    import duckdb
+
+    from textloom.catalogue import ORACLES
+
+    texts = ["the and and and and and", "the and ! ! ! ! ! !", "The [source: x] and", "the</s> and", "How can I help today, the and", "the idiot and", "The end", None, ""]
+    rows = [(k, 1, "assistant", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["benchmark_scores"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["benchmark_scores"]).fetchall())

@@ -144,17 +144,20 @@ def expected_share(response: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, F.size(found) / F.greatest(F.size(expected), F.lit(1))).otherwise(1.0)
 
 
-def assistant_score(response: Column, expected: Column, forbidden: Column, requires_citation: Column, reference: Column | None = None) -> Column:
+def assistant_score(response: Column, expected: Column, forbidden: Column, requires_citation: Column, reference: Column | None = None, style: bool = True, cited: Column | None = None) -> Column:
     """One for the reference, the share of expected substrings, minus one for each forbidden one, two for repeated
-    punctuation or connectors, one for filler and two for markup, half for or against a citation; zero at least."""
+    punctuation or connectors, one for filler and two for markup, half for or against a citation; zero at least. Without style
+    punctuation, connectors, filler and markup do not count; cited says whether there is a citation, else the text does."""
     text = F.coalesce(response, F.lit(""))
     low = F.lower(text)
     bad = F.size(F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda x: low.contains(F.lower(x))))
     loops = text.rlike(r"([,.;:!?])(?:\s*\1){4,}") | low.rlike(r"(?U)\b(and|or)\b(?:\s+\1){3,}")
     minus = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
     markup = T.contains_any([text], ("</s>", "<|assistant|>", "<|user|>"))
-    score = F.when(F.size(expected) > 0, expected_share(response, expected)).otherwise(0.0) - bad - minus(loops, 2) - minus(T.contains_any([low], FILLER), 1) - minus(markup, 2)
-    score = score + F.when(F.coalesce(requires_citation, F.lit(False)), F.when(cites(response), 0.5).otherwise(-0.5)).otherwise(0.0)
+    score = F.when(F.size(expected) > 0, expected_share(response, expected)).otherwise(0.0) - bad
+    if style:
+        score = score - minus(loops, 2) - minus(T.contains_any([low], FILLER), 1) - minus(markup, 2)
+    score = score + F.when(F.coalesce(requires_citation, F.lit(False)), F.when(cites(response) if cited is None else cited, 0.5).otherwise(-0.5)).otherwise(0.0)
     if reference is not None:
         score = score + minus(F.trim(text) == F.trim(reference), 1)
     return F.greatest(F.lit(0.0), score)
