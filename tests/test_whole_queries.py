@@ -160,6 +160,21 @@ def test_family_metrics_of_pages_that_share_an_address(spark, tmp_path):
     assert got == expected and len(got) == 2
 
 
+def test_family_metrics_of_pages_without_an_address(spark, tmp_path):
+    import duckdb
+
+    from textloom.catalogue import ORACLES
+
+    page = lambda *sizes: "<main>" + "".join(f"<p>{'a' * n}</p>" for n in sizes) + "</main>"
+    rows = [(0, None, page(300, 300, 300)), (1, None, page(400, 400)), (2, "", page(300, 250)), (3, "http://x/team", page(20)), (4, "http://x/a", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    con.execute(f"CREATE TABLE o AS {ORACLES['family_metrics']}")
+    got = QUERIES["family_metrics"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM o").fetchall()) == [("athletics", True, 1, 1), ("general", True, 4, 2)]
+
+
 def test_snapshot_sync_of_pages_that_share_an_address(spark, tmp_path):
     got, expected = shared_addresses(spark, tmp_path)("snapshot_sync")
     assert got == expected and len(got) == 3

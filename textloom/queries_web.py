@@ -305,5 +305,6 @@ def native_text_quality(spark, sf_dir):
 @query(f"""{LINE_CHUNKS_SQL}, n AS (SELECT family, count(*) AS documents FROM dc GROUP BY family), k AS (SELECT family, count(*) AS chunks FROM lc JOIN dc ON dc.id = lc.document_id GROUP BY family)
 SELECT family, true AS refreshed, documents, coalesce(chunks, 0) AS chunks FROM n LEFT JOIN k USING (family)""")
 def family_metrics(spark, sf_dir):
-    documents = web.documents_of(table(spark, sf_dir, "pages"), "s1")
-    return web.family_metrics(documents, web.chunks_of(documents))
+    # A page without an address has no id, not that of the empty address: it is counted, its chunks belong to no document.
+    documents = web.documents_of(table(spark, sf_dir, "pages"), "s1").withColumn("id", F.when(F.col("source_url").isNotNull(), F.col("id")))
+    return web.family_metrics(documents, web.chunks_of(documents.filter("source_url IS NOT NULL")))
